@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from concord.llm import packing, tokenfile
+from concord.llm import chat, html_text, langid, packing, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_packing,
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_token_file": tokenfile.op4_token_file,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_language_id": langid.op6_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
 }
 ORACLE: dict[str, str] = {}
