@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concord.llm import chat, html_text, langid, packing, quality, tokenfile, toxicity
+from concord.llm import chat, decontaminate, html_text, langid, line_dedup, packing, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_packing,
@@ -12,5 +12,7 @@ QUERIES = {
     "op5_html_text": html_text.op5_html_text,
     "op6_language_id": langid.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_line_dedup": line_dedup.OP10_SQL}
