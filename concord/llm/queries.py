@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concord.llm import chat, decontaminate, html_text, langid, line_dedup, packing, quality, tokenfile, toxicity
+from concord.llm import chat, decontaminate, html_text, langid, line_dedup, near_dup, packing, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE: dict[str, str] = {"op10_line_dedup": line_dedup.OP10_SQL}
+ORACLE: dict[str, str] = {"op9_near_duplicates": near_dup.OP9_SQL, "op10_line_dedup": line_dedup.OP10_SQL}

@@ -1,2 +1,64 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From documents to packed training sequences: five stages, each a pass of one operator over all that the stage before it kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs; all but the last return the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from concord.llm import decontaminate, line_dedup, near_dup, packing, toxicity
+from concord.llm._common import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 1/2; learned from this input and the labels of the learning fold."""
+    model = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).filter("score < 0.5").select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of templates that recur in other surroundings; n_chars follows the text."""
+    done = line_dedup.dedup_lines(docs)
+    return done.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each group of near-duplicates; of rows of one doc_id the least by text, all rows without one."""
+    kept = near_dup.group(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    first = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    return named.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't cover any benchmark item."""
+    return decontaminate.worst(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("not contaminated").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed corpus with its token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+
+#: A trained model, tiles and packing are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}")
+    return docs
