@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,15 +72,26 @@ def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                 yield got.cast(arrow) if got.schema != arrow else got
         if finish and (got := step(None)) is not None and got.num_rows:
             yield got.cast(arrow) if got.schema != arrow else got
+        del step
+        give_back()
 
     return df.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def batch_of(**named) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in named.values()], names=list(named))
 
 
-def slices(texts: list, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list, most: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about `most` characters, so that work on a batch takes bounded memory."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
