@@ -126,8 +126,8 @@ def redact_keys(values: Column | str) -> Column:
 def endpoint(url: Column | str) -> Column:
     """Scheme and host in lower case, no slash at the end; null for other schemes and where it has credentials, a query or a fragment."""
     c = strip(url)
-    parts = F.regexp_extract(c, r"^(?i)(https?://[^/?#@]+)([^?#]*)$", 1)
-    return F.when(parts == "", F.lit(None)).otherwise(F.regexp_replace(F.concat(F.lower(parts), F.regexp_extract(c, r"^(?i)(https?://[^/?#@]+)([^?#]*)$", 2)), "/+$", ""))
+    parts = F.regexp_extract(c, r"^(?i)(https?://[^/?#@]+)((?:/[^?#]*)?)$", 1)
+    return F.when(parts == "", F.lit(None)).otherwise(F.regexp_replace(F.concat(F.lower(parts), F.regexp_extract(c, r"^(?i)(https?://[^/?#@]+)((?:/[^?#]*)?)$", 2)), "/+$", ""))
 
 
 def messages(system: Column | str, context: Column | str, question: Column | str) -> Column:

@@ -33,7 +33,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool =
 
 def papers(spark: SparkSession, path: str) -> DataFrame:
     """Markdown papers: paper_index by file name, text, body and digest; two of one index, none at all or an empty body is an error."""
-    found = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    found = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     found = found.withColumns({"paper_index": text.paper_prefix("path"), "body": body.body("text"), "sha256": F.sha2("text", 256), "size_bytes": F.octet_length("text").cast("long")})
     rules.must_be_empty(rules.duplicates(found, "paper_index"), "papers of one index")
     rules.must_be_empty(found.filter(text.strip("body") == "").select("path"), "papers without a body")

@@ -22,15 +22,20 @@ def tail(events: DataFrame, after: int, order: str = "event_id") -> DataFrame:
     return events.filter(F.col(order) > after)
 
 
+def timed(events: DataFrame, time: str, delay: str) -> DataFrame:
+    """events with a watermark; a time without a zone is one of the session's zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def first_by_key(events: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
     """Each key's first row within the delay, for answers that may be told again."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return timed(events, time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def open_waits(starts: DataFrame, finishes: DataFrame, key: str, time: str, delay: str = "1 hour", longest: str = "1 day") -> DataFrame:
     """Starts joined with their finish where one comes in time; without one the finish is null once the watermark has passed."""
-    a = starts.withWatermark(time, delay)
-    b = finishes.select(F.col(key).alias("__key"), F.col(time).alias("finished_at")).withWatermark("finished_at", delay)
+    a = timed(starts, time, delay)
+    b = timed(finishes.select(F.col(key).alias("__key"), F.col(time).alias("finished_at")), "finished_at", delay)
     on = (F.col(key) == F.col("__key")) & (F.col("finished_at") >= F.col(time)) & (F.col("finished_at") <= F.col(time) + F.expr(f"interval {longest}"))
     return a.join(b, on, "left_outer").drop("__key")
 
@@ -67,12 +72,12 @@ def breaches(events: DataFrame, key: str, amount: str, order: str, cap: float) -
 
 
 def tumbling(events: DataFrame, time: str, size: str = "1 hour", delay: str = "1 hour", *keys: str) -> DataFrame:
-    return events.withWatermark(time, delay).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
+    return timed(events, time, delay).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
 
 
 def sliding(events: DataFrame, time: str, size: str = "1 hour", slide: str = "15 minutes", delay: str = "1 hour", *keys: str) -> DataFrame:
-    return events.withWatermark(time, delay).groupBy(F.window(time, size, slide), *keys).agg(F.count("*").alias("n"))
+    return timed(events, time, delay).groupBy(F.window(time, size, slide), *keys).agg(F.count("*").alias("n"))
 
 
 def sessions(events: DataFrame, time: str, gap: str = "30 minutes", delay: str = "1 hour", *keys: str) -> DataFrame:
-    return events.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
+    return timed(events, time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
