@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.functions import body, ids, jsonx, numeric, text, vectors
+from concord.functions.columns import computed
 from concord.operators import answers, consensus, evaluation, ledger, numeric_votes, report, retrieval, text_votes, verification
 from concord.plans.views import table, view, with_views
 
@@ -380,10 +381,10 @@ def quote_in_context(spark, folder):
     # a quote's first eight words find the places that can hold it, so a text is compared with few quotes
     starts = lambda c: F.slice(F.split(c, " "), 1, 8)
     docs = table(spark, folder, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("t"))
-    words = F.split("t", " ")
-    seeds = docs.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(words) - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 6), " "))))).alias("seed")).select("doc_id", "seed")
+    split = computed(docs.select("doc_id", "t"), words=F.split("t", " ")).withColumn("places", F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("words") - 1)))
+    runs = split.select("doc_id", F.explode(F.array_distinct(F.transform("places", lambda i: F.xxhash64(F.array_join(F.slice("words", i, 6), " "))))).alias("seed"))
     asked = quotes.withColumn("seed", F.xxhash64(F.array_join(F.slice(starts(F.col("q")), 2, 6), " ")))
-    near = seeds.join(asked, "seed").select("doc_id", "item_id", "q").distinct()
+    near = runs.join(asked, "seed").select("doc_id", "item_id", "q").distinct()
     found = near.join(docs, "doc_id").filter(F.contains("t", F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
