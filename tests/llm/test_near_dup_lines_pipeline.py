@@ -218,3 +218,25 @@ def test_stages_take_odd_rows(spark, documents, tmp_path):
             if k == 3:
                 assert now.count() == n
         assert {r.doc_id for r in now.collect()} == ({1, 2, 3, 4, None} if n else set())
+
+
+def footer_rows():
+    """Two- and three-line footers at the end of short and long texts, and a group of near copies that hold the first."""
+    rng = random.Random(21)
+    prose = lambda n=1: [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)) for _ in range(n)]
+    two, three = ["this page is given to you as it stands today", "write to the keeper of the archive"], ["first of the three lines of terms", "the middle one has always the same lines around", "and here the terms have their end"]
+    rows = [(i, "\n".join(prose(3) + two)) for i in range(8)] + [(20 + i, "\n".join(prose(4) + three)) for i in range(4)] + [(40 + i, "\n".join(prose(5) + three + prose(2))) for i in range(4)]
+    base = prose(10)
+    for i in range(40):
+        own = list(base)
+        own[i % 10] = prose()[0]
+        rows.append((100 + i, "\n".join(own + two)))
+    return rows, two + three, base
+
+
+def test_line_dedup_drops_whole_footers_and_keeps_near_copies(spark, documents):
+    rows, gone, base = footer_rows()
+    want = {d: "\n".join(x for x in t.split("\n") if x not in gone) for d, t in rows}
+    got = line_dedup.dedup_lines(documents(rows)).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert {r.n_dropped for r in got if r.doc_id < 8} == {2} and {r.n_dropped for r in got if 20 <= r.doc_id < 100} == {3}
