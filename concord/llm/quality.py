@@ -6,7 +6,8 @@ that lang that are plain prose: at least MIN_N_WORDS words, at most PLAIN_SYMBOL
 the characters signs and at most PLAIN_UPPER of them capitals. A document is compared
 with every reference by Jensen-Shannon distance (base 2, so from 0 to 1) and passes
 if one language is within both limits. Short texts differ by chance: the characters
-are only compared from MIN_CHARS on, the words from MIN_WORDS on. The document's own
+are only compared from MIN_CHARS on, the words from MIN_WORDS on, and the words'
+limit depends on their number and on the reference (see word_limits). The document's own
 lang isn't used for that.
 
 References are exact counts: a word of a share of at least COMMON_SHARE among a
@@ -37,6 +38,10 @@ COMMON, COMMON_SHARE = 40, 0.002
 PLAIN_SYMBOLS, PLAIN_UPPER = 0.01, 0.15
 MIN_CHARS, MIN_WORDS = 120, 40
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.165, 0.5
+#: The words' limit is at least this share of the distance of a text without common words; chance allows SPREAD deviations.
+UNCOMMON_SHARE, SPREAD = 0.8, 4
+#: Numbers of words for which chance is drawn, and draws of each.
+LENGTHS, DRAWS = (40, 55, 75, 100, 140, 200, 400, 1000, 4000), 400
 CLASSES = ("lower", "upper", "digit", "space", "stop", "quote", "bracket", "sign", "other")
 #: Beyond CLASSES: signs of SYMBOLS, and white space that doesn't part words.
 SYMBOL, WIDE_SPACE = len(CLASSES), len(CLASSES) + 1
@@ -137,6 +142,14 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (left.sum(axis=-1) + right.sum(axis=-1)) / 2))
 
 
+def word_limits(share: np.ndarray) -> np.ndarray:
+    """The greatest word distance to a reference for each of LENGTHS: what chance explains, or a share of the distance of a text without common words where that is more."""
+    draw = np.random.default_rng(1)
+    none = distance(np.r_[np.zeros(len(share) - 1), 1.0], share)
+    chance = [distance(draw.multinomial(n, share, DRAWS) / n, share) for n in LENGTHS]
+    return np.minimum(MAX_WORD_DISTANCE, np.maximum(UNCOMMON_SHARE * none, [d.mean() + SPREAD * d.std() for d in chance]))
+
+
 def by_lang(batch: pa.RecordBatch):
     """For each run of texts: what is counted of it, each text's language as a number, and the languages."""
     langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -230,6 +243,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, dict[str, int]]]) -> DataFrame:
     """The counts, base_failed, kept, the two distances to the nearest reference (0 where the text is too short to tell) and its language."""
     shares = [(lang, chars / chars.sum(), [w for w in words if w], np.array([words[w] for w in words]) / sum(words.values())) for lang, (chars, words) in sorted(refs.items())]
+    limits = [word_limits(share) for *_, share in shares]
 
     def make():
         def step(batch):
@@ -251,7 +265,7 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, dict[str, int]]]) -
                     there = np.bincount(c.doc * (len(common) + 1) + place[word], minlength=n * (len(common) + 1)).reshape(n, -1)
                     d_kind = np.where(c.lengths >= MIN_CHARS, distance(own, chars), 0)
                     d_word = np.where(c.n_words >= MIN_WORDS, distance(there / np.maximum(1, c.n_words)[:, None], share), 0)
-                    d = np.maximum(d_kind / MAX_CLASS_DISTANCE, d_word / MAX_WORD_DISTANCE)
+                    d = np.maximum(d_kind / MAX_CLASS_DISTANCE, d_word / np.interp(c.n_words, LENGTHS, limits[k]))
                     better = d < far
                     far[better], kind[better], words[better], nearest[better] = d[better], d_kind[better], d_word[better], k
                 repeated = c.n_repeat_words()

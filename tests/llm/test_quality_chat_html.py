@@ -51,6 +51,27 @@ def test_quality_rules(spark, documents):
     assert alone == {100: True, 101: False, 102: False, 103: False, 104: False, 105: True}
 
 
+def test_text_without_common_words_is_rejected(spark, documents):
+    rng = random.Random(8)
+    prose = [(i, " ".join(random.Random(i).sample(PROSE.split() * 9, 90 + 2 * i)), "en") for i in range(30)]
+    sizes = [len(w) for w in PROSE.split()]
+    letters = [x for x in PROSE.lower() if x.isalpha()]
+    junk = [(1000 + n, " ".join("".join(rng.choices(letters, k=rng.choice(sizes))) + "." * (k % 12 == 11) for k in range(n)), None) for n in (150, 600, 5000)]
+    refs = quality.references(documents(prose))
+    got = {r.doc_id: r for r in quality.judge(documents(prose + junk), refs).collect()}
+    for doc_id, *_ in prose:
+        assert got[doc_id].kept
+    for doc_id, *_ in junk:
+        assert not got[doc_id].base_failed and got[doc_id].class_distance <= quality.MAX_CLASS_DISTANCE and not got[doc_id].kept
+
+
+def test_word_limits_are_below_a_text_without_common_words():
+    share = np.array([0.32 / 40] * 40 + [0.68])
+    none = quality.distance(np.r_[np.zeros(40), 1.0], share)
+    assert none < quality.MAX_WORD_DISTANCE
+    assert (quality.word_limits(share)[2:] < none).all()
+
+
 def test_distance_is_symmetric_and_bounded():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.0, 1.0])
     assert quality.distance(p, q)[0] == 1 and quality.distance(p, p[0])[0] == 0
