@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from concord.llm import decontaminate, line_dedup, near_dup, packing, toxicity
 from concord.llm._common import written
 
+#: Similarity from which near-duplicates are one group here; op9 has its own.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 1/2; learned from this input and the labels of the learning fold."""
@@ -27,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each group of near-duplicates; of rows of one doc_id the least by text, all rows without one."""
-    kept = near_dup.group(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_dup.group(docs, percent=NEAR_PERCENT).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     first = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
     named = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
     return named.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(docs.columns).unionByName(docs.filter("doc_id is null"))

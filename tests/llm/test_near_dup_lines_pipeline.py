@@ -240,3 +240,21 @@ def test_line_dedup_drops_whole_footers_and_keeps_near_copies(spark, documents):
     got = line_dedup.dedup_lines(documents(rows)).collect()
     assert {r.doc_id: r.text for r in got} == want
     assert {r.n_dropped for r in got if r.doc_id < 8} == {2} and {r.n_dropped for r in got if 20 <= r.doc_id < 100} == {3}
+
+
+def test_pipeline_groups_copies_from_80_percent_on(spark, documents):
+    rng = random.Random(31)
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{k}" for k in range(60)]
+        other = list(words)
+        other[20 + g] = "changed"
+        other[59] = "end"
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(other))]
+    rng.shuffle(rows)
+    a, b = (plain_set(dict(rows)[d]) for d in (0, 1))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    kept = corpus_pipeline.one_of_each_group(spark, documents(rows), "").collect()
+    want = plain_groups(rows, 80)
+    assert {r.doc_id for r in kept} == {d for d in want if want[d] == d} == {10 * g for g in range(6)}
+    assert sum(r.kept for r in near_dup.group(documents(rows)).collect()) == 12
