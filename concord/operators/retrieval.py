@@ -7,17 +7,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from concord.functions import vectors
 
 
-def nearest_chunk(evidence: DataFrame, chunks: DataFrame, key: str = "paper") -> DataFrame:
+def nearest_chunk(evidence: DataFrame, chunks: DataFrame, key: str = "paper", others: bool = False) -> DataFrame:
     """evidence's columns but its vector, with the chunk_id of the greatest cosine similarity in its paper, the first of equals, and max_similarity.
 
     evidence: key, evidence_id, vector. chunks: key, chunk_id, vector. A chunk comes
     back as its id and one number, and the best is kept by partial aggregation, so no
-    paper's chunks are gathered. Invalid vectors take no part.
+    paper's chunks are gathered. Invalid vectors take no part. With others, evidence_id is
+    a chunk_id too and a chunk isn't compared with itself.
     """
     a = evidence.filter(vectors.is_valid(F.col("vector"))).withColumn("__norm", vectors.norm(F.col("vector")))
     b = chunks.filter(vectors.is_valid(F.col("vector"))).select(key, "chunk_id", F.col("vector").alias("__v"), vectors.norm(F.col("vector")).alias("__n"))
     near = F.when(F.size("vector") == F.size("__v"), vectors.dot(F.col("vector"), F.col("__v")) / (F.col("__norm") * F.col("__n")))
-    pairs = a.join(b, key).select(key, "evidence_id", "chunk_id", near.alias("s")).filter("s is not null")
+    pairs = a.join(b, key)
+    pairs = (pairs.filter("evidence_id <> chunk_id") if others else pairs).select(key, "evidence_id", "chunk_id", near.alias("s")).filter("s is not null")
     best = pairs.groupBy(key, "evidence_id").agg(F.max(F.struct("s", (-F.col("chunk_id")).alias("c"))).alias("m"))
     return best.select(key, "evidence_id", (-F.col("m.c")).alias("chunk_id"), F.col("m.s").alias("max_similarity"))
 

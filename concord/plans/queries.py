@@ -361,7 +361,7 @@ SELECT paper, evidence_id, chunk_id, round(s, 6) AS max_similarity FROM s QUALIF
 def nearest_chunk(spark, folder):
     rows = _chunks(spark, folder)
     evidence = rows.filter("chunk_id % 20 = 0").select("paper", F.col("chunk_id").alias("evidence_id"), "vector")
-    return retrieval.nearest_chunk(evidence, rows.filter("chunk_id % 20 <> 0")).withColumn("max_similarity", F.round("max_similarity", 6))
+    return retrieval.nearest_chunk(evidence, rows, others=True).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
 @query("SELECT label AS paper, vec_id AS chunk_id, string_agg(concat('c', vec_id), chr(10) || chr(10)) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM embeddings")

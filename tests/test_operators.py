@@ -173,3 +173,13 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert {(r.user_id, r.event_id) for r in over.collect()} == {(r.user_id, r.event_id) for r in want.collect()}
     first = run_stream(spark, streaming.first_by_key(live().withColumn("k", F.col("event_id") % 97), "k", "ts", "60 days"), "first")
     assert first.count() == batch.select((F.col("event_id") % 97).alias("k")).distinct().count()
+
+
+def test_nearest_chunk_among_all_others(spark, tmp_path):
+    # 20 is nearest to 40, which is a query too; 7 is the next
+    vectors = {20: [1.0, 0.0], 40: [0.99, 0.05], 7: [0.8, 0.6], 60: [0.0, 1.0]}
+    spark.createDataFrame([(k, 0, v) for k, v in vectors.items()], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    from concord.plans.queries import QUERIES
+
+    got = {r.evidence_id: r.chunk_id for r in QUERIES["nearest_chunk"](spark, str(tmp_path)).collect()}
+    assert got == {20: 40, 40: 20, 60: 7}
