@@ -12,6 +12,8 @@ from concord.operators import answers, consensus, evaluation, ledger, numeric_vo
 from concord.plans.views import table, view, with_views
 
 MODELS = [f"m{k}" for k in range(7)]
+#: Short quotes that go out at once.
+BRIEF_QUOTES = 2000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -383,9 +385,17 @@ def quote_in_context(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("t"))
     split = computed(docs.select("doc_id", "t"), words=F.split("t", " ")).withColumn("places", F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("words") - 1)))
     runs = split.select("doc_id", F.explode(F.array_distinct(F.transform("places", lambda i: F.xxhash64(F.array_join(F.slice("words", i, 6), " "))))).alias("seed"))
-    asked = quotes.withColumn("seed", F.xxhash64(F.array_join(F.slice(starts(F.col("q")), 2, 6), " ")))
+    # a quote of fewer words may begin and end within words, so it has no seed and is looked for in every text
+    brief = F.coalesce(F.size(F.split("q", " ")), F.lit(0)) < 8
+    asked = quotes.filter(~brief).withColumn("seed", F.xxhash64(F.array_join(F.slice(starts(F.col("q")), 2, 6), " ")))
     near = runs.join(asked, "seed").select("doc_id", "item_id", "q").distinct()
-    found = near.join(docs, "doc_id").filter(F.contains("t", F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = near.join(docs, "doc_id").filter(F.contains("t", F.col("q"))).select("item_id")
+    short = quotes.filter(brief)
+    blocks = -(-short.count() // BRIEF_QUOTES)
+    for k in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks)) == k)
+        hits = hits.unionAll(docs.join(F.broadcast(block), F.contains("t", F.col("q"))).select("item_id"))
+    found = hits.groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 

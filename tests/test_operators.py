@@ -183,3 +183,21 @@ def test_nearest_chunk_among_all_others(spark, tmp_path):
 
     got = {r.evidence_id: r.chunk_id for r in QUERIES["nearest_chunk"](spark, str(tmp_path)).collect()}
     assert got == {20: 40, 40: 20, 60: 7}
+
+
+def test_short_quotes_are_found(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from concord.plans import queries
+
+    monkeypatch.setattr(queries, "BRIEF_QUOTES", 3)
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = [(k, t) for k, t in enumerate([words, f"zero {words} end", words.replace("six", "6"), "three four", "", None])]
+    asked = ["three four", "wo three", "one", "two three four five six seven", "one two three four five six sev", "one two three four five six seven eig", "ne two three four five six seven eight nine", "not there", ""]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE["quote_in_context"]).fetchall()
+    assert dict(map(tuple, queries.QUERIES["quote_in_context"](spark, str(tmp_path)).collect())) == dict(want)
