@@ -39,6 +39,8 @@ WORDS, PERCENT = 5, 85
 BANDS, ROWS, FIRST = 32, 5, 8
 #: Bounds of a block: classes, and shingles of all of them together.
 MOST_CLASSES, MOST_SHINGLES = 1500, 1_500_000
+#: Characters of the texts that a worker takes at once.
+MOST_CHARS = 4_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -56,7 +58,9 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
     import xxhash
 
     n = len(texts)
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # a copy: of a slice of an array, Arrow's lower-casing returns other bytes
+    fresh = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(fresh))
     flat = split.flatten().cast(pa.large_string())
     doc = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))
     kept = np.flatnonzero(pc.binary_length(flat).to_numpy())
@@ -138,14 +142,14 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, chunk: int = 32_768) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, chunk: int = 32_768, most: int = MOST_CHARS) -> DataFrame:
     """doc_id, n, set_a, set_b and keys of each document; no keys where it has no shingles."""
 
     def make():
         def step(batch):
             out = []
             texts = batch.column(1)
-            for b, e in slices(texts.to_pylist(), 4_000_000):
+            for b, e in slices(texts.to_pylist(), most):
                 items, sizes = shingle_sets(texts.slice(b, e - b), words)
                 starts = np.cumsum(sizes) - sizes
                 full = np.flatnonzero(sizes)
@@ -178,14 +182,14 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
     return arrow_pass(rows_in, make, "doc_id long, n long, set_a long, set_b long, keys array<long>")
 
 
-def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def full_sets(docs: DataFrame, words: int = WORDS, most: int = MOST_CHARS) -> DataFrame:
     """rep (doc_id), set_a and the whole set of each document."""
 
     def make():
         def step(batch):
             out = []
             texts = batch.column(1)
-            for b, e in slices(texts.to_pylist(), 4_000_000):
+            for b, e in slices(texts.to_pylist(), most):
                 items, sizes = shingle_sets(texts.slice(b, e - b), words)
                 ends = np.cumsum(sizes)
                 full = np.flatnonzero(sizes)
@@ -313,10 +317,10 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, first: int = FIRST, most_classes: int = MOST_CLASSES, most_shingles: int = MOST_SHINGLES) -> DataFrame:
+def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, first: int = FIRST, most_classes: int = MOST_CLASSES, most_shingles: int = MOST_SHINGLES, most_chars: int = MOST_CHARS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     texts = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    made = written(sketches(texts, words, bands, rows), "sketches")
+    made = written(sketches(texts, words, bands, rows, most=most_chars), "sketches")
     own = made.filter("n > 0 and doc_id is not null")
     classes = written(own.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "classes")
     labels, edges = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), None
@@ -324,7 +328,7 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: in
         now = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "set_a", "n", F.coalesce("component", "rep").alias("component"), F.explode(F.slice("keys", b + 1, e - b)).alias("key"))
         blocks = written(candidate_blocks(now, most_classes, most_shingles), "blocks")
         wanted = blocks.select(F.col("rep").alias("doc_id")).distinct()
-        sets = full_sets(texts.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["rep", "set_a"])
+        sets = full_sets(texts.join(wanted, "doc_id", "left_semi"), words, most_chars).dropDuplicates(["rep", "set_a"])
         found = verified(blocks.join(sets, ["rep", "set_a"]), percent)
         edges = written(found if edges is None else edges.unionAll(found), "links")
         labels = components(edges)

@@ -113,6 +113,22 @@ def test_shingles():
     assert sizes.tolist() == [len(plain_set(t)) for t in texts]
 
 
+def test_shingles_of_a_slice_are_those_of_its_texts(spark, documents):
+    texts = ["E f", "Gg h i j", "K", None, "", *[t for _, t in ODD + copies(2)]]
+    whole = pa.array(texts, pa.string())
+    for b, n in ((0, 4), (1, 2), (2, 9), (5, len(texts) - 5)):
+        got, want = near_dup.shingle_sets(whole.slice(b, n)), near_dup.shingle_sets(pa.array(texts[b : b + n], pa.string()))
+        assert all(np.array_equal(x, y) for x, y in zip(got, want)) and want[1].tolist() == [len(plain_set(t)) for t in texts[b : b + n]]
+
+
+def test_groups_of_many_slices_are_those_of_brute_force(spark, documents):
+    rows = copies(3) + ODD
+    want = plain_groups(rows)
+    got = near_dup.group(documents(rows).coalesce(1), most_chars=500).collect()
+    assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((d, len(plain_set(t))) for d, t in rows)
+    assert all(r.component_id == want.get(r.doc_id) for r in got)
+
+
 LICENSE = "All rights reserved by the owner of page {n}."
 
 
