@@ -15,6 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD_SEPARATORS = " \t\n\r\x0b\x0c"
 
 
+#: Rows of a written table that are sent to every task at most; beyond it they are joined.
+SENT_ROWS = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -33,21 +37,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: it cuts the lineage and outlives any executor."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
+def forget(*tables: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    parents = set()
-    for name in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        parents.add(path.getParent().toString())
-    for name in parents:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if path.getName().startswith("concord-"):
-            path.getFileSystem(conf).delete(path, True)
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def few(table: DataFrame, sent: int = SENT_ROWS) -> DataFrame:
+    """A written table that every task gets if it has few enough rows; a larger one is joined by dealing out both sides."""
+    return F.broadcast(table) if table.count() <= sent else table
 
 
 def columns(df: DataFrame, *wanted: str) -> DataFrame:

@@ -166,6 +166,41 @@ def test_line_dedup_is_its_sql(spark, documents):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_line_dedup_of_odd_rows_is_its_sql(spark, documents):
+    rows = footer_rows()[0] + leaf_rows() + [(900, "  spaced\tline of five   tokens \r\n\n x"), (901, " spaced line of five tokens"), (902, "\x0bspaced line of five tokens "), (902, "\x0bspaced line of five tokens ")]
+    docs = documents(rows)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    got = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert Counter(map(tuple, got)) == Counter(con.execute(line_dedup.OP10_SQL).fetchall())
+
+
+def leaf_rows():
+    """Two kinds of messages of one leaf (as many tokens, the same first three), each with a field of letters, among other lines of that leaf."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for i in range(6):
+        rows.append((300 + i, "\n".join([" ".join(word() for _ in range(9)), f"we send you a paper copy of {word()} by the post today", f"we send you news each week on {word()} from our own desk", "we send you " + " ".join(word() for _ in range(9))])))
+    return rows
+
+
+def test_two_templates_of_one_leaf_are_both_generalised(spark, documents):
+    got = line_dedup.dedup_lines(documents(leaf_rows())).collect()
+    assert {(r.n_lines, r.n_dropped) for r in got} == {(4, 2)} and not any("paper copy" in r.text or "news each" in r.text for r in got)
+
+
+def test_stages_keep_columns_of_any_name(spark, documents, tmp_path):
+    names = ["score", "n_lines", "n_dropped", "item_id", "coverage", "n_tiles", "contaminated", "__row", "__kept", "rest", "kept", "place"]
+    rows = [(k, f"document {k} says " + " ".join(f"w{k}x{j}" for j in range(20)), *[f"{k} {c}" for c in names]) for k in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a benchmark item of some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows
+
+
 def test_line_dedup_has_no_python(spark, documents):
     plan = line_dedup.dedup_lines(documents(line_rows()))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -183,7 +218,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     con = duckdb.connect()
     con.register("documents", clean)
     lined = con.execute(line_dedup.OP10_SQL).df()
-    component = plain_groups(list(zip(lined.doc_id.tolist(), lined.text.tolist())))
+    component = plain_groups(list(zip(lined.doc_id.tolist(), lined.text.tolist())), corpus_pipeline.NEAR_PERCENT)
     first = lined[[component[d] == d for d in lined.doc_id.tolist()]]
     items = [[w for w in decontaminate.words_of(t)] for t in pd.read_parquet(f"{source}/benchmark.parquet").text]
 
