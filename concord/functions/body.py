@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Fixed patterns: headings that end a body, and headings that show a contents list still stands before it.
-NUMBERING = r"(?:\d+(?:\.\d+)*\.?|[ivxlc]+\.)?"
-END = re.compile(rf"^[ \t]*(?:\#{{1,6}}[ \t]*)?(?:\*{{1,2}}[ \t]*)?{NUMBERING}[ \t]*(?:references?(?:[ \t]+cited)?|bibliography|acknowledge?ments?|appendix|appendices|参考文献|致谢|附录)[ \t]*:?(?:\*{{1,2}})?[ \t]*$", re.I | re.M)
-BODY = re.compile(r"^\s*(?:\#{1,6}\s*)?(?:abstract|introduction|摘要|引言)\s*$", re.I | re.M)
+# Headings that end a body (blanks within the Chinese ones count for nothing), the English words that may
+# stand in brackets behind one, and headings that show a contents list still stands before it.
+ENDINGS = frozenset(("参考文献", "致谢", "附录", "references", "references and notes", "bibliography", "acknowledgements", "acknowledgments", "appendix", "appendices"))
+BRACKETED = frozenset(("references", "bibliography", "acknowledgements", "acknowledgments"))
+OPENINGS = frozenset(("abstract", "introduction", "摘要", "引言"))
+BULLETS = "■●-–—"
+
+
+def heading(line: str) -> str:
+    """A line without blanks around it and without the marks of a heading."""
+    line = line.strip()
+    marks = len(line) - len(line.lstrip("#"))
+    return line[marks:].strip() if marks <= 6 else line
+
+
+def folded(words: str) -> str:
+    """Lower case, one blank between words, none between Chinese signs."""
+    words = " ".join(words.split()).lower()
+    return words if words.isascii() else words.replace(" ", "")
+
+
+def ends_body(line: str) -> bool:
+    """Whether a line is an ending heading: perhaps emphasised, behind a bullet, in brackets, or with an English word in brackets behind it."""
+    words = heading(line).rstrip(" \t:：")
+    words = words.lstrip("*_").rstrip("*_").rstrip(" \t:：")
+    words = words.lstrip(BULLETS).strip()
+    for left, right in (("(", ")"), ("（", "）")):
+        own, mark, behind = words.partition(left)
+        if mark and own.strip() and behind.endswith(right) and folded(behind[:-1]) in BRACKETED:
+            words = own.strip()
+    return folded(words.removeprefix("[").removesuffix("]")) in ENDINGS
 
 
 def body_of(text: str) -> str:
-    """The text up to the first ending heading behind which no heading of a body comes before the next one."""
-    found = list(END.finditer(text))
-    for m, after in zip(found, [*[x.start() for x in found[1:]], len(text)], strict=True):
-        if not BODY.search(text, m.end(), after):
-            return text[: m.start()]
-    return text
+    """The text up to the first ending heading (and the blank lines before it) behind which no heading of a body comes before the next one."""
+    begin, blank, at = None, None, 0
+    for line in text.split("\n"):
+        if not line.strip():
+            blank = at if blank is None else blank
+        else:
+            if ends_body(line):
+                if begin is not None:
+                    break
+                begin = at if blank is None else blank
+            elif begin is not None and heading(line).lower() in OPENINGS:
+                begin = None
+            blank = None
+        at += len(line) + 1
+    return text if begin is None else text[:begin]
 
 
 @F.pandas_udf(T.StringType())

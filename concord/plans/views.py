@@ -62,8 +62,10 @@ SELECT 'numeric' AS kind, concat('p', cast(o_orderkey % 2003 AS string)) AS pape
   concat('e', cast(o_custkey % 3 AS string)) AS experiment_id, CASE WHEN o_custkey % 2 = 0 THEN 'h-1 mg m-2' ELSE 'mg m-2 h-1' END AS unit, cast(10 + o_orderkey % 4 AS string) AS value,
   CASE WHEN o_orderkey % 10 = 0 THEN 'not_reported' WHEN o_orderkey % 31 = 0 THEN 'unclear' ELSE 'value' END AS status
 FROM orders WHERE o_orderkey % 2 = 0""",
+    # texts without an ending heading, with one, and with a contents list and two
     "papers": r"""
-SELECT doc_id, lang, source, text, concat('# Introduction', chr(10), text, chr(10), '## References', chr(10), '1. ', source) AS paper FROM documents""",
+SELECT doc_id, lang, source, text, CASE cast(doc_id % 3 AS int) WHEN 0 THEN concat('# Introduction', chr(10), text) WHEN 1 THEN concat('# Introduction', chr(10), text, chr(10), '## References', chr(10), '1. ', source)
+    ELSE concat('Contents', chr(10), '[References]', chr(10), '# Introduction', chr(10), text, chr(10), '**Acknowledgements**', chr(10), 'thanks', chr(10), '参 考 文 献', chr(10), '1. ', source) END AS paper FROM documents""",
 }
 
 

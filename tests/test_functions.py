@@ -40,7 +40,7 @@ def test_confidences(spark):
     assert [r[0] for r in df.select(numeric.confidence("c")).collect()] == [90, 1, 1, 1, 1, -1]
 
 
-@pytest.mark.parametrize("told, want", [("-74.0 to -73.0", (-74, -73)), ("-74-73", (-74, 73)), ("-74–73", (-74, 73)), ("-74 –73", (-74, 73)), ("33.5-32.0S", (-33.5, -32)), ("33.5S-32.0S", (-33.5, -32)), ("-74 -73", (-74, -73)), ("74W to 73W", (-74, -73)), ("73.5S-74.5S", (-74.5, -73.5)), ("120.0E-119.5E", (119.5, 120)), ("119°30'00\"E to 120°00'00\"E", (119.5, 120)), ("n/a", None), (None, None), ("here", None)])
+@pytest.mark.parametrize("told, want", [("-74.0 to -73.0", (-74, -73)), ("-74-73", (-74, 73)), ("-74–73", (-74, 73)), ("-74 –73", (-74, 73)), ("33.5-32.0S", (-33.5, -32)), ("33.5S-32.0S", (-33.5, -32)), ("-74 -73", (-74, -73)), ("74W to 73W", (-74, -73)), ("73.5S-74.5S", (-74.5, -73.5)), ("120.0E-119.5E", (119.5, 120)), ("119°30'00\"E to 120°00'00\"E", (119.5, 120)), ("n/a", None), (None, None), ("here", None), ("74.5", (74.5, 74.5)), ("−34.9", (-34.9, -34.9)), ("119°30'E", (119.5, 119.5)), ("33°15'36\"S", (-33.26, -33.26)), ("between 10 and 12.5", (10, 12.5)), ("10E and 12.5E", (10, 12.5)), ("10――12", (10, 10)), ("1––3", (1, 3)), ("tomato", None)])
 def test_intervals(told, want):
     assert coords.parse_interval(told) == want
 
@@ -49,7 +49,7 @@ def test_interval_text():
     assert coords.interval_text(-74, -73, 2, 2) == "-74.00–-73.00" and coords.decimal_text(45, 2, 4) == "45" and coords.decimal_text(45, 2, 2) == "45.00" and coords.interval_text(math.nan, 1) == ""
 
 
-PERIODS = [("2011-01-01 to 2011-06-30", "2011-01-01 to 2011-06-30"), ("2011-01-01 - 2011-06-30", "2011-01-01 to 2011-06-30"), ("from 2011-01-01 to 2011-06-30", "2011-01-01 to 2011-06-30"), ("2011-01 to 2011-06", "2011-01 to 2011-06"), ("2011-2012", "2011 to 2012"), ("May-December 2010", "2010-05 to 2010-12"), ("December 10, 2011 to January 20, 2012", "2011-12-10 to 2012-01-20"), ("2011; May 2013", "2011-01 to 2013-05"), ("2011-13-40", ""), ("soon", ""), (None, "")]
+PERIODS = [("2011-01-01 to 2011-06-30", "2011-01-01 to 2011-06-30"), ("2011-01-01 - 2011-06-30", "2011-01-01 to 2011-06-30"), ("from 2011-01-01 to 2011-06-30", "2011-01-01 to 2011-06-30"), ("2011-01 to 2011-06", "2011-01 to 2011-06"), ("2011-2012", "2011 to 2012"), ("May-December 2010", "2010-05 to 2010-12"), ("December 10, 2011 to January 20, 2012", "2011-12-10 to 2012-01-20"), ("2011; May 2013", "2011-01 to 2013-05"), ("2011-13-40", ""), ("soon", ""), ("May2010", ""), ("1599", ""), ("Sept, 1999 until 2003", "1999-09 to 2003-01"), ("3 May 2010", "2010-05"), ("May 3 2010", "2010-05-03"), ("2011; 2013-02-01", "2011-01-01 to 2013-02-01"), ("March to may 2001", "2001-03 to 2001-05"), (None, "")]
 
 
 def test_periods(spark):
@@ -86,7 +86,10 @@ def test_replies(spark):
 
 def test_bodies_and_chunks(spark):
     told = "Contents\nReferences\nIntroduction\nreal text\n\n## References\n1. a"
-    assert body.body_of(told) == "Contents\nReferences\nIntroduction\nreal text\n\n"
+    assert body.body_of(told) == "Contents\nReferences\nIntroduction\nreal text\n"
+    assert [body.body_of(t) for t in ("", "no heading", "a\nsee References 1\nb", "a\nReferences\nIntroduction\nb")] == ["", "no heading", "a\nsee References 1\nb", "a\nReferences\nIntroduction\nb"]
+    for end in ("References and Notes", "[References]", "■ References", "参 考 文 献", "# 参考文献(References)", "**Bibliography**", "## Acknowledgements:", "appendices"):
+        assert body.body_of(f"a\n{end}\nb") == "a\n"
     pieces = body.chunks_of("A sentence here. " * 200, 500, 20)
     assert max(map(len, pieces)) <= 500 and len(pieces) > 7 and body.chunks_of("") == []
 

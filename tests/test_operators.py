@@ -126,7 +126,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/001_test.md").write_text("China. 2020.\n\n## References\nx")
     got = tables.papers(spark, f"{tmp_path}/in").first()
-    assert (got.paper_index, got.body) == ("001", "China. 2020.\n\n")
+    assert (got.paper_index, got.body) == ("001", "China. 2020.\n")
     (tmp_path / "in/001-b.md").write_text("again")
     with pytest.raises(ValueError):
         tables.papers(spark, f"{tmp_path}/in")
