@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.functions import ids, text, vocab
+from concord.functions.columns import computed
 
+#: Models, questions or rounds of a study at most.
+LISTED = 10_000
 TASK = ("paper_index", "question_index", "model", "round_index")
 COMPOSITE = ("paper_index", "question_index", "round_index", "model", "item", "value", "evidence", "confidence_lv", "request_fingerprint", "paper_fingerprint", "candidate_id")
 
 
 def task_grid(papers: DataFrame, models: DataFrame, questions: DataFrame, rounds: DataFrame | None = None) -> DataFrame:
-    """Every paper, model and question (and round): the dimensions are lists of a study, and the grid is its plan of work."""
-    grid = papers.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(questions)) if rounds is None else papers.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(questions)).crossJoin(F.broadcast(rounds))
-    return grid
+    """Every paper, model and question (and round): the dimensions are lists of a study, and the grid is its plan of work.
+
+    Models, questions and rounds are a study's settings, so a list of more than LISTED is an error.
+    """
+    for listed in (models, questions) if rounds is None else (models, questions, rounds):
+        if listed.limit(LISTED + 1).count() > LISTED:
+            raise ValueError(f"a grid takes at most {LISTED} models, questions and rounds each")
+        papers = papers.crossJoin(F.broadcast(listed))
+    return papers
 
 
 def with_task_id(grid: DataFrame) -> DataFrame:
@@ -59,7 +68,7 @@ def violations(df: DataFrame, kind: str | None = None, items: list[str] | None =
     if require_experimental:
         rules.append(("no_experimental", present & (text.is_missing("experimental", vocab.MISSING_ANSWER) if "experimental" in df.columns else F.lit(True))))
     rule = F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for name, broken in rules])
-    return df.withColumn("rule", rule).filter("rule is not null")
+    return computed(df, rule=rule).filter("rule is not null")
 
 
 def must_be_empty(rows: DataFrame, what: str, shown: int = 5) -> None:

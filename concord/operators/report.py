@@ -51,18 +51,16 @@ def disagreement(answers: DataFrame, order: str) -> DataFrame:
 def outliers(answers: DataFrame, factor: float = 100.0, least_models: int = 2) -> DataFrame:
     """Single numbers further from their item's upper median than factor times it; ranges are no outliers but kind `range`."""
     rows = answers.filter(F.col("scalar_value").isNotNull()).withColumn("x", F.col("scalar_value").try_cast("double"))
-    ranges = rows.filter("x is null").select(*answers.columns, F.lit(None).cast("double").alias("upper_median"), F.lit("range").alias("warning"))
     group = ("paper_index", "item")
     # of n numbers the upper median is the one of rank n div 2 + 1; counts of equal numbers keep a group's rows bounded by its different ones
-    counts = rows.filter("x is not null").groupBy(*group, "x").agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*group).orderBy("x"))
-    total = F.sum("n").over(Window.partitionBy(*group))
-    ranks = counts.withColumns({"upto": below, "total": total})
-    middle = ranks.filter(F.expr("upto >= total div 2 + 1")).groupBy(*group).agg(F.min("x").alias("upper_median"))
-    models = rows.groupBy(*group).agg(F.count_distinct("model").alias("models")).filter(F.col("models") >= least_models)
-    told = rows.join(middle, list(group)).join(models.select(*group), list(group), "left_semi")
-    far = F.abs(F.col("x") - F.col("upper_median")) > factor * F.greatest(F.abs("upper_median"), F.lit(1e-12))
-    return told.filter(far).select(*answers.columns, "upper_median", F.lit("outlier").alias("warning")).unionByName(ranges)
+    counts = rows.groupBy(*group, "x").agg(F.count("x").alias("n"), F.collect_set("model").alias("models"))
+    ranks = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy(*group).orderBy("x")), "total": F.sum("n").over(Window.partitionBy(*group))})
+    middle = F.min(F.when(F.expr("upto >= total div 2 + 1"), F.col("x")))
+    told = ranks.groupBy(*group).agg(middle.alias("upper_median"), F.size(F.array_distinct(F.flatten(F.collect_list("models")))).alias("__models"))
+    both = rows.join(told, list(group))
+    far = (F.col("__models") >= least_models) & (F.abs(F.col("x") - F.col("upper_median")) > factor * F.greatest(F.abs("upper_median"), F.lit(1e-12)))
+    warning = F.when(F.col("x").isNull(), "range").when(far, "outlier")
+    return both.withColumn("warning", warning).filter("warning is not null").select(*answers.columns, F.when(F.col("x").isNotNull(), F.col("upper_median")).alias("upper_median"), "warning")
 
 
 def unit_warnings(answers: DataFrame) -> DataFrame:
