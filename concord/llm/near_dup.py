@@ -11,14 +11,15 @@ Jaccard similarity reaches `percent`; a component is what links join.
 2. Documents of one set are one class from here on, by its least doc_id.
 3. Classes that share a band key are a bucket. Buckets of the same classes count once.
    At 85 % a linked pair shares none of the keys with a chance of 7e-9.
-4. A bucket's full sets meet in one task, or where it is large in blocks of bounded
-   size, each pair of parts in one block; the exact intersections are a product of
+4. Full sets meet in blocks of bounded size; the exact intersections are a product of
    bounded matrices, and only a spanning forest of the links leaves the task, so
-   neither all pairs of a group nor all of its links are ever rows.
-5. Components by repeated contraction of the links to least neighbours, as tables.
-
-That is done for FIRST bands, and then for the others, where only buckets that still
-hold several components count: a group of copies is one component by then.
+   neither all pairs of a group nor all of its links are ever rows. First come heads,
+   a class for each component of a bucket, a large bucket in parts that share a few
+   pivots: rows grow with classes, and a group of copies becomes one component.
+5. Components by repeated contraction of the links to least neighbours, as tables;
+   after the bands of each of STEPS, so that later bands have few heads.
+6. At last, in buckets that still hold several components, every pair of two of them
+   meets. A bucket's largest component costs a row a class for each part of the rest.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and
 are their own components; rows of equal doc_id are one document; rows without doc_id
@@ -31,14 +32,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from concord.llm._common import arrow_pass, batch_of, columns, slices, written
+from concord.llm._common import SENT_ROWS, arrow_pass, batch_of, columns, few, forget, slices, written
 
 WORDS, PERCENT = 5, 85
-BANDS, ROWS, FIRST = 32, 5, 8
-#: Bounds of a block: classes, and shingles of all of them together.
-MOST_CLASSES, MOST_SHINGLES = 1500, 1_500_000
+BANDS, ROWS = 32, 5
+#: Bands before which components are brought up to date.
+STEPS = (3,)
+#: Bounds of a block's side: classes, and shingles of all of them together.
+MOST_CLASSES, MOST_SHINGLES, PIVOTS = 500, 600_000, 16
 #: Characters of the texts that a worker takes at once.
 MOST_CHARS = 4_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -277,61 +280,121 @@ def verified(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
                     if block != state["block"]:
                         close(out)
                         state["block"] = block
-                    state["rows"].append((rep, side, items))
+                    if not state["rows"] or state["rows"][-1][0] != rep:  # a pivot stands in its part twice
+                        state["rows"].append((rep, side, items))
             if not out:
                 return None
             return batch_of(x=pa.array([a for a, _ in out], pa.int64()), y=pa.array([b for _, b in out], pa.int64()))
 
         return step
 
-    ordered = blocks.select("block", "side", "rep", "items").repartition("block").sortWithinPartitions("block")
+    ordered = blocks.select("block", "side", "rep", "items").repartition("block").sortWithinPartitions("block", "rep")
     return arrow_pass(ordered, make, "x long, y long", finish=True).filter("x <> y")
 
 
-def candidate_blocks(members: DataFrame, most_classes: int, most_shingles: int) -> DataFrame:
-    """block, side, rep and set_a: members (key, rep, set_a, n, component) dealt to blocks of bounded size; buckets of one component, or of the same members as another's, are left out."""
-    sums = members.groupBy("key").agg(
-        F.count("*").alias("classes"), F.sum("n").alias("shingles"), F.min("component").alias("least"), F.max("component").alias("most"),
-        F.sum(F.xxhash64("rep", "set_a") % (1 << 40)).alias("names"), F.sum(F.xxhash64("set_a", "rep") % (1 << 40)).alias("more"),
-    ).filter("classes > 1 and least <> most")
+def parts_of(classes: Column, shingles: Column, most_classes: int, most_shingles: int) -> Column:
+    return F.greatest(F.ceil(classes / most_classes), F.ceil(shingles / most_shingles), F.lit(1)).cast("int")
+
+
+def members_name(*more: str) -> list[Column]:
+    """Two sums that tell a bucket's members from another's, so that buckets of the same members count once."""
+    return [F.sum(F.xxhash64(*c, *more) % (1 << 40)).alias(n) for n, c in (("names", ("rep", "set_a")), ("more", ("set_a", "rep")))]
+
+
+def head_blocks(members: DataFrame, most_classes: int, most_shingles: int, pivots: int = PIVOTS) -> DataFrame:
+    """block, side, rep and set_a: the least member of each component of a bucket (members have key, rep, set_a, n, component).
+
+    A large bucket goes in parts, each with the bucket's pivots, so rows grow with
+    members, whatever a bucket's size; pivots that link join the parts.
+    """
+    heads = members.groupBy("key", "component").agg(F.min(F.struct("rep", "set_a", "n")).alias("h")).select("key", "h.*")
+    sums = heads.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"), *members_name()).filter("classes > 1")
     once = sums.groupBy("classes", "shingles", "names", "more").agg(F.min("key").alias("key"))
-    parts = F.greatest(F.ceil(F.col("classes") / most_classes), F.ceil(F.col("shingles") / most_shingles)).cast("int")
-    dealt = members.join(once.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = parts_of(F.col("classes"), F.col("shingles"), most_classes, most_shingles)
+    dealt = heads.join(once.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
+    slots = dealt.filter("parts > 1").groupBy("key", "parts", F.pmod(F.xxhash64("rep"), F.lit(pivots)).alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "set_a")).alias("p"))
+    spread = slots.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"), "p.rep", "p.set_a")
+    rows = dealt.select("key", "own", "rep", "set_a").unionAll(spread)
+    return rows.select(F.xxhash64("key", "own").alias("block"), F.lit(0).alias("side"), "rep", "set_a")
+
+
+def rest_blocks(members: DataFrame, most_classes: int, most_shingles: int) -> DataFrame:
+    """block, side, rep and set_a: whatever heads left out, so that every pair of a bucket that no component holds meets in a block.
+
+    A bucket's most frequent component is dealt apart: its own parts needn't meet, so
+    a group of copies costs a row a member for each part of the others.
+    """
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    told = counts.groupBy("key").agg(F.max_by(F.struct("component", "c", "n"), F.struct("c", "component")).alias("m"), F.sum("c").alias("classes"), F.sum("n").alias("shingles"), F.count("*").alias("kinds"))
+    whole = (F.col("classes") <= most_classes) & (F.col("shingles") <= most_shingles)
+    # where each component has one member and one block held them all, nothing is left
+    told = told.filter(F.col("kinds") > 1).filter((F.col("m.c") > 1) | ~whole)
+    p = parts_of(F.col("m.c"), F.col("m.n"), most_classes, most_shingles)
+    q = parts_of(F.col("classes") - F.col("m.c"), F.col("shingles") - F.col("m.n"), most_classes, most_shingles)
+    told = told.select("key", F.col("m.component").alias("main"), F.when(whole, 0).otherwise(p).alias("p"), F.when(whole, 1).otherwise(q).alias("q"))
+    dealt = members.join(told, "key").withColumn("rest", (F.col("component") != F.col("main")) | (F.col("p") == 0))
+    names = dealt.groupBy("key", "p", "q").agg(*members_name("rest")).groupBy("p", "q", "names", "more").agg(F.min("key").alias("key")).select("key")
+    slot = F.xxhash64("rep", "key")
+    dealt = dealt.join(names, "key").withColumn("own", F.when(F.col("rest"), F.col("p") + F.pmod(slot, F.col("q"))).otherwise(F.pmod(slot, F.greatest("p", F.lit(1)))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("p")).cast("int"), F.col("p") + F.col("q") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     return dealt.select(F.xxhash64("key", low, high).alias("block"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "set_a")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def links_of(texts: DataFrame, blocks: DataFrame, words: int, percent: int, most_chars: int, repeated: bool, sent: int) -> DataFrame:
+    """The links in the blocks, by the full sets of their members."""
+    blocks = written(blocks, "blocks")
+    wanted = written(blocks.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = full_sets(texts.join(few(wanted, sent), "doc_id", "left_semi"), words, most_chars)
+    if repeated:
+        sets = sets.dropDuplicates(["rep", "set_a"])
+    found = written(verified(sets.join(few(blocks, sent), ["rep", "set_a"]), percent), "links")
+    forget(blocks, wanted)
+    return found
+
+
+def components(edges: DataFrame, sent: int = SENT_ROWS) -> DataFrame:
     """node and component (its least node) for every node of the edges (x, y)."""
     edges = written(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y").distinct(), "edges")
     labels = written(edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct().withColumn("component", F.col("node")), "labels")
     while not edges.isEmpty():
         near = edges.union(edges.select("y", "x")).groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("up"))
         near = written(near, "near")
-        to = near.join(near.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("to"))
-        to = written(to, "to")
-        labels = written(labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-        edges = edges.join(to.select(F.col("node").alias("x"), F.col("to").alias("a")), "x").join(to.select(F.col("node").alias("y"), F.col("to").alias("b")), "y")
-        edges = written(edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x <> y").distinct(), "edges")
+        tops = few(near, sent)
+        to = written(near.join(tops.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("to")), "to")
+        sides = few(to, sent)
+        now = written(labels.join(sides.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        left = edges.join(sides.select(F.col("node").alias("x"), F.col("to").alias("a")), "x").join(sides.select(F.col("node").alias("y"), F.col("to").alias("b")), "y")
+        left = written(left.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x <> y").distinct(), "edges")
+        forget(near, to, labels, edges)
+        labels, edges = now, left
+    forget(edges)
     return labels
 
 
-def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, first: int = FIRST, most_classes: int = MOST_CLASSES, most_shingles: int = MOST_SHINGLES, most_chars: int = MOST_CHARS) -> DataFrame:
+def group(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, steps: tuple[int, ...] = STEPS, most_classes: int = MOST_CLASSES, most_shingles: int = MOST_SHINGLES,
+    most_chars: int = MOST_CHARS, sent: int = SENT_ROWS,
+) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     texts = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     made = written(sketches(texts, words, bands, rows, most=most_chars), "sketches")
     own = made.filter("n > 0 and doc_id is not null")
     classes = written(own.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "classes")
+    repeated = not own.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     labels, edges = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), None
-    for b, e in ((0, first), (first, bands)):
-        now = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "set_a", "n", F.coalesce("component", "rep").alias("component"), F.explode(F.slice("keys", b + 1, e - b)).alias("key"))
-        blocks = written(candidate_blocks(now, most_classes, most_shingles), "blocks")
-        wanted = blocks.select(F.col("rep").alias("doc_id")).distinct()
-        sets = full_sets(texts.join(wanted, "doc_id", "left_semi"), words, most_chars).dropDuplicates(["rep", "set_a"])
-        found = verified(blocks.join(sets, ["rep", "set_a"]), percent)
-        edges = written(found if edges is None else edges.unionAll(found), "links")
-        labels = components(edges)
+    bounds = [0, *[s for s in steps if s < bands], bands]
+    keyed = classes.select("rep", "set_a", "n", F.posexplode("keys").alias("band", "key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
+    members = written(keyed.join(few(shared, sent), "key", "left_semi"), "members")
+    forget(shared)
+    for b, e, deal in [*[(x, y, head_blocks) for x, y in zip(bounds, bounds[1:], strict=False)], (0, bands, rest_blocks)]:
+        now = members.filter(F.col("band").between(b, e - 1)).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("band")
+        found = links_of(texts, deal(now, most_classes, most_shingles), words, percent, most_chars, repeated, sent)
+        all_links = found if edges is None else written(edges.unionAll(found), "links")
+        if edges is not None:
+            forget(found, edges, labels)
+        edges, labels = all_links, components(all_links)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = made.select("doc_id", "n", "set_a", "set_b").join(named, ["n", "set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
