@@ -46,7 +46,7 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 class ShardWriter:
     """Writes a shard beside its name and moves it there at the end, so that a repeated task replaces it whole."""
 
-    def __init__(self, uri: str, width: int = 4, level: int = 3):
+    def __init__(self, uri: str, width: int = 4, level: int = 1):
         import zstandard
 
         self.fs, self.path = open_fs(uri)
@@ -59,13 +59,23 @@ class ShardWriter:
         self.docs: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.add_all([doc_id], ids, np.array([len(ids)]))
+
+    def add_all(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """A frame for each document; ids holds those of all of them in a row."""
         import xxhash
 
-        data = ids.astype(self.kind).tobytes()
-        frame = self.pack(data)
-        self.out.write(frame)
-        self.entries.append((len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
-        self.docs.append(NO_ID if doc_id is None else doc_id)
+        data = memoryview(ids.astype(self.kind).tobytes())
+        ends = (np.cumsum(counts) * int(self.kind[-1])).tolist()
+        frames, digest, pack, b = [], xxhash.xxh64_intdigest, self.pack, 0
+        for e in ends:
+            own = data[b:e]
+            frame = pack(own)
+            frames.append(frame)
+            self.entries.append((len(frame), e - b, digest(own) & 0xFFFFFFFF))
+            b = e
+        self.out.write(b"".join(frames))
+        self.docs.extend(NO_ID if d is None else d for d in doc_ids)
 
     def close(self) -> None:
         import xxhash
@@ -94,7 +104,9 @@ class ShardReader:
         self.begins = np.concatenate([[0], np.cumsum(self.entries["packed"], dtype=np.int64)])
         own = self.file.read_at(at - 8 - int(self.begins[-1]), int(self.begins[-1]))
         import xxhash
+        import zstandard
 
+        self.unpack = zstandard.ZstdDecompressor().decompress
         if struct.unpack("<II", own[:8]) != (SKIPPABLE_IDS, len(own) - 8) or struct.unpack("<I", own[-4:])[0] != xxhash.xxh64_intdigest(own[8:-4]) & 0xFFFFFFFF:
             raise ValueError(f"{uri}: its list of documents is damaged")
         self.kind = f"<u{own[8]}"
@@ -106,34 +118,41 @@ class ShardReader:
     def doc_id(self, i: int) -> int | None:
         return None if self.docs[i] == NO_ID else int(self.docs[i])
 
-    def _ids(self, i: int, frame: bytes) -> np.ndarray:
+    def _data(self, i: int, frame) -> bytes:
+        """A frame's bytes, held against its checksum."""
         import xxhash
-        import zstandard
 
-        data = zstandard.ZstdDecompressor().decompress(frame, max_output_size=int(self.entries["size"][i]))
+        data = self.unpack(frame, max_output_size=int(self.entries["size"][i]))
         if xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != self.entries["check"][i]:
             raise ValueError(f"{self.path}: frame {i} is damaged")
-        return np.frombuffer(data, self.kind).astype("<u4")
+        return data
 
     def ids(self, i: int) -> np.ndarray:
-        return self._ids(i, self.file.read_at(int(self.entries["packed"][i]), int(self.begins[i])))
+        return np.frombuffer(self._data(i, self.file.read_at(int(self.entries["packed"][i]), int(self.begins[i]))), self.kind).astype("<u4")
 
     def find(self, doc_id: int | None) -> list[np.ndarray]:
         """ids of each document of that doc_id; the doc_ids ascend, so two searches find them."""
         wanted = NO_ID if doc_id is None else doc_id
         return [self.ids(i) for i in range(*np.searchsorted(self.docs, [wanted, wanted + 1]))]
 
-    def scan(self, block: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
-        """All frames in order, by reads of about `block` bytes."""
+    def runs(self, block: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """All frames in order, by reads of about `block` bytes: first and last frame of a run, all their ids in a row and how many each has."""
         i = 0
         while i < len(self):
             e = max(i + 1, int(np.searchsorted(self.begins, self.begins[i] + block, "right")) - 1)
-            data = self.file.read_at(int(self.begins[e] - self.begins[i]), int(self.begins[i]))
-            for k in range(i, e):
-                b = int(self.begins[k] - self.begins[i])
-                yield k, self._ids(k, data[b : b + int(self.entries["packed"][k])])
+            data = memoryview(self.file.read_at(int(self.begins[e] - self.begins[i]), int(self.begins[i])))
+            at = (self.begins[i : e + 1] - self.begins[i]).tolist()
+            held = b"".join([self._data(k, data[at[k - i] : at[k - i + 1]]) for k in range(i, e)])
+            yield i, e, np.frombuffer(held, self.kind).astype("<u4"), self.entries["size"][i:e].astype(np.int64) // int(self.kind[-1])
             i = e
 
+    def scan(self, block: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+        """All frames in order, one at a time."""
+        for i, e, ids, counts in self.runs(block):
+            ends = np.cumsum(counts)
+            for k in range(i, e):
+                yield k, ids[int(ends[k - i] - counts[k - i]) : int(ends[k - i])]
+
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1, shards: int | None = None) -> DataFrame:
     """Encodes docs into shards below folder, in ascending doc_id order over all shards; a row for each shard: shard, uri, n_docs, n_ids."""
@@ -158,8 +177,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for b, e in slices(texts.to_pylist()):
                 ids, counts = codec.encode(texts.slice(b, e - b))
-                for doc_id, own in zip(doc_ids[b:e], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    writer.add(doc_id, np.append(own, np.uint32(end_id)))
+                writer.add_all(doc_ids[b:e], np.insert(ids, np.cumsum(counts), end_id), counts + 1)
                 state["ids"] += len(ids) + e - b
             return None
 
@@ -181,13 +199,14 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader, rows, held = ShardReader(uri), [], 0
-                for i, ids in reader.scan():
-                    rows.append((reader.doc_id(i), start, len(ids), ids.tobytes()))
-                    start, held = start + len(ids), held + len(ids)
-                    if held > 2_000_000 or len(rows) == 10_000 or i == len(reader) - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
-                        rows, held = [], 0
+                reader = ShardReader(uri)
+                for i, e, ids, counts in reader.runs():
+                    ends = np.cumsum(counts)
+                    offsets = np.r_[0, ends * 4].astype(np.int32)
+                    own = pa.Array.from_buffers(pa.binary(), e - i, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                    docs = pa.array(reader.docs[i:e], pa.int64(), mask=reader.docs[i:e] == NO_ID)
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends - counts), pa.array(counts), own], names=["doc_id", "start", "n_tokens", "ids"])
+                    start += int(ends[-1])
 
     return todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

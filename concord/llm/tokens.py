@@ -7,7 +7,7 @@ each is encoded once, and numpy puts the texts together from those.
 
 Words of Latin letters with signs behind them are encoded many at a time, their
 letters joined by spaces; a token that ends a word tells where each ends. Any
-other word goes through the library alone. tests/llm/test_tokens.py holds both
+other word goes through the library alone. tests/llm/test_tokens_packing.py holds both
 against plain encoding of whole texts.
 """
 
