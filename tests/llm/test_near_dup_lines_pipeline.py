@@ -309,3 +309,19 @@ def test_pipeline_groups_copies_from_80_percent_on(spark, documents):
     want = plain_groups(rows, 80)
     assert {r.doc_id for r in kept} == {d for d in want if want[d] == d} == {10 * g for g in range(6)}
     assert sum(r.kept for r in near_dup.group(documents(rows)).collect()) == 12
+
+
+def test_rows_of_a_large_bucket_grow_with_its_members(spark):
+    for n in (400, 1600):
+        members = spark.range(n).selectExpr("7L AS key", "id AS rep", "id * 31 AS set_a", "10L AS n", "id AS component")
+        heads = near_dup.head_blocks(members, 20, 10_000).collect()
+        assert n < len(heads) <= n + near_dup.PIVOTS * n // 20 and {r.rep for r in heads} == set(range(n))
+        # one component but for three members: a row each, and those three against all parts
+        joined = members.selectExpr("key", "rep", "set_a", "n", "if(rep < 3, rep, 3L) AS component")
+        rest = near_dup.rest_blocks(joined, 20, 10_000).collect()
+        assert len(rest) <= n + 4 * (n // 20 + 1)
+        met = {}
+        for r in rest:
+            met.setdefault(r.block, {0: set(), 1: set()})[r.side].add(r.rep)
+        pairs = {(a, b) for m in met.values() for a in m[0] | m[1] for b in m[0] | m[1] if (a in m[0]) != (b in m[0]) or not m[1] or not m[0]}
+        assert all((a, b) in pairs or (b, a) in pairs for a in range(3) for b in range(3, n))
