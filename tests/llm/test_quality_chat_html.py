@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
+import time
 import re
 from collections import Counter
+from xml.etree import ElementTree
 
 import numpy as np
 
@@ -127,3 +130,86 @@ def test_pages(spark):
     rows = html_text.extract(df).collect()
     assert sorted((r.page_id or 0, len(r.text) > 0) for r in rows) == [(0, False), (1, True), (1, True), (2, False)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pages_of_any_names():
+    article = "<p>" + "A sentence of the article that is read whole. " * 6 + "</p>"
+    want = ("A sentence of the article that is read whole. " * 6).strip()
+    for names in ("post legal", "content search-results-story", "entry social", "page has-menu"):
+        inner = f"<main>{article}</main>" if "has-menu" in names else article
+        assert html_text.main_text(f'<html><body><div class="{names}">{inner}</div><div class="footer"><p>Site line</p></div></body></html>') == want, names
+    page = f'<head><title>T</title><body><div class="sidebar layout"><article>{article}</article></div><div class="post comments"><article class="comment">{article * 9}</article></div><div title="class=ad">'
+    assert html_text.main_text(page) == want
+    for names in ("comment post", "content sidebar", "post-comments", "legal", "notice text"):
+        assert html_text.main_text(f'<body><div><p>{want}</p></div><div class="{names}"><p>Not this one</p></div>') == want, names
+
+
+def test_pages_in_linear_time():
+    for piece in ('<p title="', "<p title='\"", "<p ", "<p", "<!", "</", "<script", "<!-", "<span>", "<a><b></i>", '<p "\'>', "<p><span>", "</script "):
+        page = f"<body><p>start</p>{piece * 60_000}"
+        begin = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - begin < 5, piece
+    page = "<span>" * 30_000 + "</i>" * 30_000 + "<p>x</p>" * 30_000
+    begin = time.process_time()
+    assert html_text.main_text(page).startswith("x x") and time.process_time() - begin < 5
+
+
+def plain_main_text(body):
+    """The method by recursion over an ElementTree without articles or class names, the formula written out."""
+
+    def nodes(x):
+        return [x, *(y for child in x for y in nodes(child))]
+
+    def chars(x, in_link=False, only_links=False):
+        in_link = in_link or x.tag == "a"
+        own = [(x.text, in_link)] + [(c.tail, in_link) for c in x]
+        return sum(len("".join((t or "").split())) for t, linked in own if linked or not only_links) + sum(chars(c, in_link, only_links) for c in x)
+
+    def density(x):
+        c, lc, t, lt = chars(x), chars(x, only_links=True), max(len(nodes(x)) - 1, 1), max(sum(y.tag == "a" for y in nodes(x)[1:]), 1)
+        if not c:
+            return 0.0
+        base = c / max(c - lc, 1) * lc + chars(body, only_links=True) / max(chars(body), 1) * c + math.e
+        return c / t * max(0.0, math.log(c / max(lc, 1) * t / lt) / math.log(math.log(base)) if math.log(base) > 1 else math.log(max(c / max(lc, 1) * t / lt, 1)))
+
+    every = nodes(body)
+    above = {c: x for x in every for c in x}
+    best = max(every, key=lambda x: (sum(density(c) for c in x), density(x), -every.index(x)))
+    path = [best]
+    while path[-1] is not body:
+        path.append(above[path[-1]])
+    least = min(density(x) for x in path)
+    chosen = set(every) if best is body else {y for x in every if x is not body and (x is best or density(x) >= least > 0) for y in nodes(x)}
+    out = []
+
+    def read(x):
+        out.append((x in chosen, x.text or ""))
+        for c in x:
+            read(c)
+            out.append((x in chosen, c.tail or ""))
+
+    read(body)
+    return [t.strip() for keep, t in out if keep and t.strip()]
+
+
+def test_main_text_is_that_of_brute_force():
+    rng = random.Random(9)
+
+    def grow(x, depth):
+        x.text = " ".join(rng.choices(["word", "another", "é", "longer-one"], k=rng.choice((0, 1, 3, 30))))
+        for _ in range(rng.randrange(4) if depth else 0):
+            # links and bold text within blocks only, as pages have them
+            grow(ElementTree.SubElement(x, rng.choice(("div", "section", "ul")) if depth > 1 else rng.choice(("b", "i"))), depth - 1)
+            if depth > 1 and rng.random() < 0.5:
+                ElementTree.SubElement(x, "a").text = rng.choice(("link", "a link of many words here"))
+
+    shorter = 0
+    for k in range(300):
+        body = ElementTree.Element("body")
+        grow(body, 4)
+        want = plain_main_text(body)
+        got = html_text.main_text(f"<html>{ElementTree.tostring(body, 'unicode', short_empty_elements=False)}</html>")
+        assert "".join(got.split()) == "".join("".join(want).split()), k
+        shorter += len(got.split()) < len(" ".join(body.itertext()).split())
+    assert shorter > 30
