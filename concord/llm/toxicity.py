@@ -8,10 +8,11 @@ letters of those words is trained in numpy on the driver by minimising
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
 
 with the logistic loss, and by ascending the second part wherever it falls below
-zero. Afterwards only the place of 1/2 is set, on the labelled rows of the sample.
+zero. The place of 1/2 then follows from the same estimator with the error rate in
+place of the loss (see place_of_half). Labels other than 1 only count for the prior.
 
-The sample is bounded: at most SAMPLE positives, SAMPLE unlabelled and SAMPLE
-other labelled documents, those with the least hash of their doc_id; what reaches
+The sample is bounded: at most SAMPLE positives and SAMPLE unlabelled documents,
+those with the least hash of their doc_id; what reaches
 the driver of each is the hashes of its features that occur in at least LEAST
 positives, and there RATIO times as often as in the unlabelled. Scoring reads all rows and whole texts and needs no shuffle.
 
@@ -76,11 +77,11 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, f
     share, n = marks.agg(F.avg(F.col("toxic").cast("double")), F.count("*")).first()
     order = F.xxhash64("doc_id")
     # the least hashes: a bounded top list each, so no task holds more
-    chosen = [marks.filter(cond).orderBy(order, "doc_id").limit(most).select("doc_id", F.lit(kind).alias("kind")) for kind, cond in (("toxic", "toxic = 1"), ("other", "toxic <> 1"))]
+    positives = marks.filter("toxic = 1").orderBy(order, "doc_id").limit(most).select("doc_id", F.lit("toxic").alias("kind"))
     texts = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = texts.select("doc_id").orderBy(order, "doc_id").limit(most).select("doc_id", F.lit("unlabelled").alias("kind"))
-    wanted = chosen[0].unionAll(chosen[1]).unionAll(ids.distinct())
-    # at most 3 * most rows of two columns, so this side is bounded
+    wanted = positives.unionAll(ids.distinct())
+    # at most 2 * most rows of two columns, so this side is bounded
     return texts.join(F.broadcast(wanted), "doc_id").select("kind", "text"), float(share) if n else 0.0
 
 
@@ -127,6 +128,24 @@ def train(positive: Sparse, unlabelled: Sparse, prior: float, steps: int = 400,
     return w[:-1], float(w[-1])
 
 
+def place_of_half(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The evidence from which on a document is called toxic.
+
+    Among the places whose non-negative risk under the 0/1 loss is within one standard
+    error of the least, the middle of the widest gap between two documents of the sample.
+    """
+    seen = np.unique(np.r_[positive, unlabelled])
+    edges = np.r_[seen[0] - 2, seen, seen[-1] + 2]
+    gaps, places = np.diff(edges), (edges[1:] + edges[:-1]) / 2
+    missed = np.searchsorted(np.sort(positive), places) / len(positive)
+    called = 1 - np.searchsorted(np.sort(unlabelled), places) / len(unlabelled)
+    risk = prior * missed + np.maximum(0, called - prior * (1 - missed))
+    error = np.sqrt(prior**2 * missed * (1 - missed) / len(positive) + called * (1 - called) / len(unlabelled))
+    least = int(np.argmin(risk))
+    gaps[risk > risk[least] + error[least]] = -1
+    return float(places[np.argmax(gaps)])
+
+
 class Model:
     """weights by feature hash; a document's evidence is the sum over its distinct words."""
 
@@ -155,8 +174,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, least: int = L
     sample, share = sampled(docs, labels, most)
     prior = min(max(share, PRIOR[0]), PRIOR[1])
     nothing = np.empty(0, np.uint32), np.empty(0), float(np.log(PRIOR[0] / (1 - PRIOR[0])))
-    sample = sample.cache()  # at most 3 * most rows; lost parts are read again
-    every = feature_rows(sample.filter("kind <> 'other'"))
+    sample = sample.cache()  # at most 2 * most rows; lost parts are read again
+    every = feature_rows(sample)
     # features by the documents of either kind that have them, counted where the rows are
     as_ints = every.mapInArrow(_as_ints, "kind string, feature long")
     counts = as_ints.groupBy("feature").pivot("kind", ["toxic", "unlabelled"]).count().na.fill(0)
@@ -171,23 +190,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, least: int = L
         sample.unpersist()
         return nothing
     shared = spark.sparkContext.broadcast(kept)
-    rows: dict[str, list] = {"toxic": [], "other": [], "unlabelled": []}
+    rows: dict[str, list] = {"toxic": [], "unlabelled": []}
     for kind, found in feature_rows(sample, shared.value).collect():
         rows[kind].append(bytes(found))
     sample.unpersist()
     data = {k: Sparse(v, len(kept)) for k, v in rows.items()}
-    weights, bias = train(data["toxic"], data["unlabelled"], prior)
-    if rows["other"]:  # where 1/2 stands: the fewest errors at the prior, in the middle of the widest gap
-        z = np.r_[data["toxic"].dot(weights), data["other"].dot(weights)]
-        cost = np.r_[np.full(len(rows["toxic"]), prior / len(rows["toxic"])), np.full(len(rows["other"]), -(1 - prior) / len(rows["other"]))]
-        order = np.argsort(z, kind="stable")
-        z, errors = z[order], np.r_[0.0, np.cumsum(cost[order])]
-        edges = np.r_[z[0] - 2, z, z[-1] + 2]
-        gaps = edges[1:] - edges[:-1]
-        gaps[errors > errors.min() + 1e-9] = -1
-        k = int(np.argmax(gaps))
-        bias = -float(edges[k] + edges[k + 1]) / 2
-    return kept, weights, bias
+    weights, _ = train(data["toxic"], data["unlabelled"], prior)
+    return kept, weights, -place_of_half(data["toxic"].dot(weights), data["unlabelled"].dot(weights), prior)
 
 
 def _as_ints(batches):

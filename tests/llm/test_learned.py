@@ -62,6 +62,15 @@ def test_non_negative_risk_finds_the_positives():
     assert (z > clean.max()).mean() > 0.99
 
 
+def test_place_of_half_needs_no_negatives():
+    rng = np.random.default_rng(5)
+    for prior in (0.02, 0.1, 0.4):
+        positive, other = rng.normal(8, 1, 800), rng.normal(0, 1, int(3000 * (1 - prior)))
+        place = toxicity.place_of_half(positive, np.r_[rng.normal(8, 1, int(3000 * prior)), other], prior)
+        assert (positive >= place).mean() > 0.98 and (other >= place).mean() < 0.02
+    assert 0 < toxicity.place_of_half(np.array([4.0]), np.array([0.0, 0.0, 4.0]), 0.3) < 4
+
+
 def test_toxicity_rows(spark, documents):
     rng = random.Random(8)
     words = [f"word{chr(97 + k)}{chr(97 + j)}" for k in range(20) for j in range(20)]
