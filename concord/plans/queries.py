@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.functions import body, ids, jsonx, numeric, text, vectors
 from concord.functions.columns import computed
-from concord.operators import answers, consensus, evaluation, ledger, numeric_votes, report, retrieval, text_votes, verification
+from concord.operators import answers, consensus, evaluation, ledger, lifecycle, numeric_votes, report, retrieval, scope, text_votes, verification
 from concord.plans.views import table, view, with_views
 
 MODELS = [f"m{k}" for k in range(7)]
@@ -683,3 +683,51 @@ def event_stream_dedup(spark, folder):
     """The batch twin of the stream's first row of each key; tests run the stream itself."""
     rows = table(spark, folder, "events").select("event_type", (F.col("event_id") % 997).alias("k"))
     return rows.dropDuplicates(["event_type", "k"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# --- lifecycle and scope -----------------------------------------------------------------------------------------
+
+SQL_STEP = """CASE WHEN b['state'] = 'reserve' AND a['state'] = 'none' THEN 'reserved' WHEN b['state'] = 'dispatch' AND a['state'] = 'reserved' THEN 'dispatched' WHEN b['state'] = 'receive' AND a['state'] IN ('dispatched', 'unknown') THEN 'received'
+WHEN b['state'] = 'reject' AND a['state'] IN ('reserved', 'dispatched') THEN 'rejected' WHEN b['state'] = 'fail' AND a['state'] = 'dispatched' THEN 'unknown' WHEN b['state'] = 'recover' AND a['state'] = 'reserved' THEN 'rejected'
+WHEN b['state'] = 'recover' AND a['state'] = 'dispatched' THEN 'unknown' WHEN b['state'] = 'release' AND a['state'] = 'unknown' THEN 'rejected' WHEN b['state'] = 'hold' AND a['state'] = 'unknown' THEN 'unknown' END"""
+
+
+@query(f"""WITH l AS (SELECT attempt_id, list_prepend({{'state': 'none', 'refused': 0::BIGINT}}, list({{'state': kind, 'refused': 0::BIGINT}} ORDER BY event_id)) AS steps FROM request_events GROUP BY attempt_id),
+e AS (SELECT attempt_id, list_reduce(steps, lambda a, b: {{'state': coalesce({SQL_STEP}, a['state']), 'refused': a['refused'] + CASE WHEN ({SQL_STEP}) IS NULL THEN 1 ELSE 0 END}}) AS last FROM l) SELECT attempt_id, last['state'] AS state, last['refused'] AS refused FROM e""")
+def attempt_states(spark, folder):
+    return lifecycle.states(view(spark, folder, "request_events"))
+
+
+@query("""WITH u AS (SELECT task_id, request_hash, count(*) FILTER (status IN ('reserved', 'dispatched', 'unknown', 'received', 'imported')) AS live, count(*) AS n FROM attempts GROUP BY ALL), a AS (SELECT event_id, concat('t', user_id % 41) AS task_id, concat('h', event_id % 991) AS request_hash FROM events)
+SELECT event_id, CASE WHEN live > 0 THEN 'live' WHEN n >= 3 THEN 'ceiling' ELSE 'free' END AS verdict FROM a LEFT JOIN u USING (task_id, request_hash)""")
+def request_admission(spark, folder):
+    named = lambda sign, c, n: F.concat(F.lit(sign), (F.col(c) % n).cast("string"))
+    asked = table(spark, folder, "events").select("event_id", named("t", "user_id", 41).alias("task_id"), named("h", "event_id", 991).alias("request_hash"))
+    return lifecycle.admitted(asked, view(spark, folder, "attempts")).select("event_id", "verdict")
+
+
+@query("SELECT attempt_id, actual_tokens - reserved_tokens AS more_tokens FROM attempts WHERE status = 'received' AND (actual_tokens > reserved_tokens OR actual_cost > reserved_cost)")
+def reservation_overshoots(spark, folder):
+    return lifecycle.overshoots(view(spark, folder, "attempts")).select("attempt_id", (F.col("actual_tokens") - F.col("reserved_tokens")).alias("more_tokens"))
+
+
+@query("SELECT paper_index, count(*) AS n FROM candidates WHERE round_index IN (1, 3) AND paper_index IN (SELECT concat('p', s_suppkey) FROM supplier) GROUP BY paper_index")
+def scoped_candidates(spark, folder):
+    papers = table(spark, folder, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("paper_index"))
+    return scope.of_rounds(scope.of_papers(candidates(spark, folder), papers), [1, 3]).groupBy("paper_index").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT concat('c', user_id % 9) AS context, max(event_id) AS b FROM events WHERE event_type = 'signup' AND event_id < 500 GROUP BY ALL), t AS (SELECT DISTINCT concat('t', user_id % 40) AS task_id, concat('c', user_id % 40 % 7) AS context FROM events),
+x AS (SELECT t.context, event_id FROM events JOIN t ON t.task_id = concat('t', user_id % 40) WHERE event_type = 'click') SELECT s.context, count(x.event_id) AS n FROM s LEFT JOIN x ON x.context = s.context AND x.event_id >= s.b GROUP BY s.context""")
+def context_cache_use(spark, folder):
+    named = lambda sign, c: F.concat(F.lit(sign), c.cast("string"))
+    rows = table(spark, folder, "events").select("event_id", "event_type", "user_id", named("t", F.col("user_id") % 40).alias("task_id"))
+    tasks = rows.select("task_id", named("c", F.col("user_id") % 40 % 7).alias("context"))
+    starts = rows.filter("event_type = 'signup' and event_id < 500").select(named("c", F.col("user_id") % 9).alias("context"), "event_id")
+    return scope.used_in_context(rows.filter("event_type = 'click'"), tasks, starts)
+
+
+@query("SELECT concat('model', s_nationkey) AS shown, count(*) AS n FROM supplier GROUP BY ALL HAVING count(*) > 1")
+def display_name_collisions(spark, folder):
+    models = table(spark, folder, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Model").otherwise("model"), F.col("s_nationkey").cast("string")).alias("model"))
+    return scope.display_collisions(models)

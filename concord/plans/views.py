@@ -50,6 +50,12 @@ WHERE (l_orderkey + 3 * s.k) % 5 <> 0""",
 SELECT cast(event_id AS string) AS attempt_id, concat('t', cast(user_id % 40 AS string)) AS task_id, concat('h', cast(event_id % 997 AS string)) AS request_hash, user_id,
   CASE event_type WHEN 'purchase' THEN 'received' WHEN 'view' THEN 'received' WHEN 'click' THEN 'dispatched' WHEN 'signup' THEN 'reserved' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'unknown' ELSE 'imported' END ELSE 'rejected' END AS status,
   event_id % 1000 AS reserved_tokens, cast((event_id % 100) * 0.25 AS double) AS reserved_cost, event_id % 700 AS actual_tokens, CASE WHEN event_id % 400 = 0 THEN NULL ELSE cast((event_id % 80) * 0.25 AS double) END AS actual_cost, event_id AS created_at
+FROM events""",
+    # events of requests, many of which their attempt's state refuses
+    "request_events": """
+SELECT concat('a', cast(user_id AS string), '-', cast(cast(floor(event_id / 200) AS int) % 7 AS string)) AS attempt_id, event_id,
+  CASE event_type WHEN 'signup' THEN 'reserve' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'reserve' ELSE 'dispatch' END WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'dispatch' ELSE 'receive' END
+    WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'reject' ELSE 'fail' END ELSE CASE WHEN event_id % 4 = 0 THEN 'recover' WHEN event_id % 4 = 1 THEN 'release' WHEN event_id % 4 = 2 THEN 'hold' ELSE NULL END END AS kind
 FROM events""",
     # published records and a reference set for them
     "predicted": """
