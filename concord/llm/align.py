@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from concord.llm.tokens import segments
 
 #: A block has about so many characters, and one text at least.
 BLOCK = 4_000_000
+#: Segments that are encoded together.
+JOINED = 100
 #: Labels: nothing ends at a byte, a token of A, of B, of both.
 LABELS = np.frombuffer(b".ABC", np.uint8)
 GROUP = re.compile(rb"[^C]*C")
@@ -71,44 +74,65 @@ class Aligner:
             if all(c in letters for c in token):
                 self.bytes_a[k] = bytes(letters[c] for c in token)
         self.sizes_a = np.array([len(x) for x in self.bytes_a])
+        #: Every id as text with the sign behind it.
+        told = [f"{k}{sign}" for n, signs in ((len(self.bytes_a), ",|"), (len(self.b.surfaces), ",;")) for sign in signs for k in range(n)]
+        self.shown, self.widths = np.array(told, object), np.array([len(x) for x in told])
         self.capacity, self.store = capacity, {}
 
+    def tokens_a(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of A of all segments in a row, and how many each has. Segments that don't end in white space are encoded together, behind one another."""
+        joined = [p[0] == " " and not p[-1].isspace() and p[-1] != "▁" for p in parts]
+        runs = [list(g) for _, g in groupby(range(len(parts)), lambda k: (joined[k], k // JOINED if joined[k] else -k))]
+        found = [x.ids for x in self.a.encode_batch_fast(["".join(map(parts.__getitem__, r)) for r in runs], add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.int64)
+        # the bytes up to each token's end say which segment it ends in
+        bounds = np.cumsum([len(p.encode()) for p in parts])
+        return ids, np.diff(np.searchsorted(np.cumsum(self.sizes_a[ids]), bounds, "right"), prepend=0)
+
     def labelled(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
         """Labels (0 to 3) of all bytes of the segments given in a row, tokens of A and B in a row, and which segments are told alike by both."""
-        raw = [p.encode() for p in parts]
-        of_a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        of_b = self.b.merger.encode(parts, num_threads=1)
+        raw, (a, n_a), of_b = "".join(parts).encode(), self.tokens_a(parts), self.b.merger.encode(parts, num_threads=1)
+        b, good = np.fromiter(chain.from_iterable(of_b), np.int64), [True] * len(parts)
         told_a, told_b = self.bytes_a.__getitem__, self.b.surfaces.__getitem__
-        good = [b"".join(map(told_a, x)) == r == b"".join(map(told_b, y)) for r, x, y in zip(raw, of_a, of_b, strict=True)]
-        if not all(good):
-            raw, of_a, of_b = ([x for x, ok in zip(column, good, strict=True) if ok] for column in (raw, of_a, of_b))
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (of_a, of_b))
-        labels = np.zeros(sum(map(len, raw)), np.uint8)
-        labels[np.cumsum(self.sizes_a[a]) - 1] |= 1
-        labels[np.cumsum(self.b.sizes[b]) - 1] |= 2
+        bounds = np.cumsum([len(p.encode()) for p in parts])
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.b.sizes[b])
+        n_b = np.cumsum(np.fromiter(map(len, of_b), np.int64, len(of_b)))
+        if not (b"".join(map(told_a, a.tolist())) == raw == b"".join(map(told_b, b.tolist())) and np.isin(bounds, ends_a).all() and (ends_b[n_b - 1] == bounds).all()):
+            of_a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+            good = [b"".join(map(told_a, x)) == p.encode() == b"".join(map(told_b, y)) for p, x, y in zip(parts, of_a, of_b, strict=True)]
+            a, b = (np.fromiter(chain.from_iterable(x for x, ok in zip(ids, good, strict=True) if ok), np.int64) for ids in (of_a, of_b))
+            raw = "".join(p for p, ok in zip(parts, good, strict=True) if ok).encode()
+            ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.b.sizes[b])
+        labels = np.zeros(len(raw), np.uint8)
+        labels[ends_a - 1] |= 1
+        labels[ends_b - 1] |= 2
         return labels, a, b, good
 
     def aligned(self, parts: list[str]) -> list[tuple | None]:
         """Of each segment: groups as text, links as pairs of ids, and numbers of tokens of A, of B and of groups; None where the bytes differ."""
         labels, a, b, good = self.labelled(parts)
-        ends_a, ends_b = np.cumsum(labels & 1), np.cumsum(labels >> 1)
-        shown_a, shown_b, text = list(map(str, a.tolist())), list(map(str, b.tolist())), LABELS[labels].tobytes()
+        ends_a, ends_b, text = np.cumsum(labels & 1, dtype=np.int64), np.cumsum(labels >> 1, dtype=np.int64), LABELS[labels].tobytes()
         spans = np.array([m.end() for m in GROUP.finditer(text)], np.int64)
-        bounds_a, bounds_b = [0, *ends_a[spans - 1].tolist()], [0, *ends_b[spans - 1].tolist()]
-        groups = [f"{','.join(shown_a[i:j])}|{','.join(shown_b[k:m])}" for i, j, k, m in zip(bounds_a, bounds_a[1:], bounds_b, bounds_b[1:], strict=False)]
+        # a group's tokens of A, then those of B: its last of A is followed by a bar, its last of B by a semicolon, all others by commas
+        last_a, last_b = ends_a[spans - 1], ends_b[spans - 1]
+        n_a, n_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
+        code_a, code_b = a.copy(), b + 2 * len(self.bytes_a)
+        code_a[last_a - 1] += len(self.bytes_a)
+        code_b[last_b - 1] += len(self.b.surfaces)
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(last_b - n_b, n_a)] = code_a
+        order[np.arange(len(b)) + np.repeat(last_a, n_b)] = code_b
+        shown, widths = "".join(self.shown[order].tolist()), np.cumsum(self.widths[order])
         at = np.flatnonzero(labels)
         links = (a[ends_a[at] - (labels[at] & 1)] << 32 | b[ends_b[at] - (labels[at] >> 1)]).astype("<u8").tobytes() if len(at) else b""
-        ends = np.cumsum([len(p.encode()) for p, ok in zip(parts, good, strict=True) if ok])
-        per = [np.diff(x, prepend=0).tolist() for x in (ends_a[ends - 1], ends_b[ends - 1], np.searchsorted(spans, ends, "right"))] if len(ends) else [[], [], []]
-        link_ends, out, g, k = (np.searchsorted(at, ends) * 8).tolist(), [], 0, 0
-        for ok in good:
-            if not ok:
-                out.append(None)
-                continue
-            n_groups = per[2][k]
-            out.append((";".join(groups[g : g + n_groups]), links[link_ends[k - 1] if k else 0 : link_ends[k]], per[0][k], per[1][k], n_groups))
-            g, k = g + n_groups, k + 1
-        return out
+        ends = np.cumsum([len(p.encode()) for p, ok in zip(parts, good, strict=True) if ok]).astype(np.int64)
+        if not len(ends):
+            return [None] * len(parts)
+        per = [np.diff(x, prepend=0).tolist() for x in (ends_a[ends - 1], ends_b[ends - 1], np.searchsorted(spans, ends, "right"))]
+        text_ends, link_ends = widths[ends_a[ends - 1] + ends_b[ends - 1] - 1].tolist(), (np.searchsorted(at, ends) * 8).tolist()
+        rows = zip([0, *text_ends], text_ends, [0, *link_ends], link_ends, *per, strict=False)
+        told = ((shown[i : j - 1], links[k:m], n_a, n_b, n) for i, j, k, m, n_a, n_b, n in rows)
+        return [next(told) if ok else None for ok in good]
 
     def known(self, parts: list[str]) -> list[tuple | None]:
         if len(self.store) > self.capacity:
