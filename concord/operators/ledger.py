@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# The states of a run, those that interrupt it, and where each may go.
-STATES = ("INIT", "PREFLIGHT", "INPUT_READY", "SMOKE", "BATCH", "FINAL_QC", "ARCHIVE", "DONE")
-INTERRUPTS = ("PAUSED", "WAITING_GATE", "BUDGET_EXHAUSTED")
-FATAL = "FAILED"
 ATTEMPTS = 3
 
 
@@ -83,22 +79,6 @@ def open_intervals(starts: DataFrame, finishes: DataFrame, *keys: str, order: st
     return starts.join(ends, list(keys), "left").filter(F.col("__end").isNull() | (F.col(order) > F.col("__end"))).drop("__end")
 
 
-def state_violations(events: DataFrame, run: str = "run_id", state: str = "state", order: str = "event_id") -> DataFrame:
-    """Changes of state that aren't allowed: forward by one, into an interrupt and back to where it came from, or to failure."""
-    main = F.when(F.col(state).isin(*STATES), F.col(state))
-    by = Window.partitionBy(run).orderBy(order)
-    told = events.withColumns({"previous": F.lag(state).over(by), "resumed": F.last(main, True).over(by.rowsBetween(Window.unboundedPreceding, -1))})
-    place = lambda c: F.array_position(F.array(*[F.lit(s) for s in STATES]), c)
-    ok = (
-        F.when(F.col("previous").isNull(), F.col(state) == STATES[0])
-        .when(F.col("previous").isin(FATAL, STATES[-1]), F.lit(False))
-        .when(F.col(state).isin(FATAL, *INTERRUPTS), F.lit(True))
-        .when(F.col("previous").isin(*INTERRUPTS), (place(F.col(state)) > 0) & (place(F.col(state)) >= place(F.col("resumed"))) & (place(F.col(state)) <= place(F.col("resumed")) + 1))
-        .otherwise(place(F.col(state)) == place(F.col("previous")) + 1)
-    )
-    return told.filter(~F.coalesce(ok, F.lit(False))).drop("resumed")
-
-
 def error_events(events: DataFrame) -> DataFrame:
     return events.filter(F.col("kind").startswith("error") | F.get_json_object("payload", "$.error").isNotNull())
 

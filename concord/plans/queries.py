@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.functions import body, ids, jsonx, numeric, text, vectors
 from concord.functions.columns import computed
-from concord.operators import answers, consensus, evaluation, ledger, lifecycle, numeric_votes, report, retrieval, scope, text_votes, verification
+from concord.operators import answers, consensus, evaluation, ledger, lifecycle, numeric_votes, report, retrieval, run_state, scope, text_votes, verification
 from concord.plans.views import table, view, with_views
 
 MODELS = [f"m{k}" for k in range(7)]
@@ -610,16 +610,40 @@ def event_tail(spark, folder):
     return events.tail(table(spark, folder, "events").select("event_id", "user_id", "event_type"), 500)
 
 
-SQL_STATES = "', '".join(ledger.STATES)
+RUN_EVENTS = """SELECT user_id AS run_id, event_id, CASE event_type WHEN 'signup' THEN 'INIT' WHEN 'view' THEN CASE event_id % 3 WHEN 0 THEN 'PREFLIGHT' WHEN 1 THEN 'SMOKE' ELSE 'BATCH' END
+WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'INPUT_READY' WHEN 1 THEN 'HUMAN_GATE_SMOKE' ELSE 'FINAL_QC' END WHEN 'purchase' THEN CASE event_id % 2 WHEN 0 THEN 'PAUSED' ELSE 'HUMAN_GATE' END
+ELSE CASE event_id % 20 WHEN 0 THEN 'FATAL_ERROR' WHEN 1 THEN 'DONE' WHEN 2 THEN 'ARCHIVE' WHEN 3 THEN 'RECOVERABLE_ERROR' ELSE 'INIT' END END AS state FROM events"""
+#: Each run's changes one after another; a refused one leaves the state as it is.
+RUN_FOLD = f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS k FROM ({RUN_EVENTS})),
+main AS (SELECT ['INIT', 'PREFLIGHT', 'INPUT_READY', 'SMOKE', 'HUMAN_GATE_SMOKE', 'BATCH', 'FINAL_QC', 'ARCHIVE', 'DONE'] AS m, ['PAUSED', 'RECOVERABLE_ERROR', 'HUMAN_GATE'] AS i),
+f AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS asked, CAST(NULL AS VARCHAR) AS previous, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS back, true AS ok FROM s
+UNION ALL SELECT run_id, k, event_id, asked, state, CASE WHEN ok THEN asked ELSE state END, CASE WHEN NOT ok THEN back WHEN NOT list_contains(i, asked) THEN NULL WHEN list_contains(i, state) THEN back ELSE state END, ok
+FROM (SELECT f.run_id, s.k, s.event_id, s.state AS asked, f.state, f.back, m, i, CASE WHEN f.state IS NULL THEN s.state = 'INIT' WHEN list_contains(i, f.state) THEN list_contains(i, s.state) OR s.state = f.back WHEN f.state IN ('DONE', 'FATAL_ERROR') THEN false
+  ELSE list_contains(i, s.state) OR s.state = 'FATAL_ERROR' OR coalesce(list_position(m, s.state) = list_position(m, f.state) + 1, false) END AS ok FROM f JOIN s ON s.run_id = f.run_id AND s.k = f.k + 1, main))"""
 
 
-@query(f"""WITH s AS (SELECT user_id AS run_id, event_id, CASE event_type WHEN 'signup' THEN 'INIT' WHEN 'view' THEN 'PREFLIGHT' WHEN 'click' THEN 'INPUT_READY' WHEN 'purchase' THEN 'SMOKE' ELSE 'PAUSED' END AS state FROM events),
-o AS (SELECT *, lag(state) OVER w AS previous, last_value(CASE WHEN state <> 'PAUSED' THEN list_position(['{SQL_STATES}'], state) END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back, list_position(['{SQL_STATES}'], state) AS p FROM s WINDOW w AS (PARTITION BY run_id ORDER BY event_id))
-SELECT run_id, event_id, state, previous FROM o WHERE NOT coalesce(CASE WHEN previous IS NULL THEN state = 'INIT' WHEN state = 'PAUSED' THEN true WHEN previous = 'PAUSED' THEN p > 0 AND p >= back AND p <= back + 1 ELSE p = list_position(['{SQL_STATES}'], previous) + 1 END, false)""")
+def run_events(spark, folder):
+    return spark.sql(RUN_EVENTS.replace("FROM events", "FROM {events}"), events=table(spark, folder, "events"))
+
+
+@query(f"{RUN_FOLD} SELECT run_id, event_id, asked AS state, previous FROM f WHERE NOT ok")
 def state_transition_violations(spark, folder):
-    state = F.expr("CASE event_type WHEN 'signup' THEN 'INIT' WHEN 'view' THEN 'PREFLIGHT' WHEN 'click' THEN 'INPUT_READY' WHEN 'purchase' THEN 'SMOKE' ELSE 'PAUSED' END")
-    rows = table(spark, folder, "events").select(F.col("user_id").alias("run_id"), "event_id", state.alias("state"))
-    return ledger.state_violations(rows)
+    return run_state.refused(run_events(spark, folder))
+
+
+@query(f"{RUN_FOLD} SELECT run_id, arg_max(state, k) AS state, arg_max(coalesce(back, '-'), k) AS resume_state, count(*) FILTER (NOT ok) AS refused FROM f GROUP BY run_id")
+def run_standing(spark, folder):
+    return run_state.standing(run_events(spark, folder)).withColumn("resume_state", F.coalesce("resume_state", F.lit("-")))
+
+
+@query("""WITH r AS (SELECT attempt_id, min((told_at, event_id)) AS r FROM request_events WHERE kind = 'reserve' GROUP BY attempt_id),
+d AS (SELECT e.attempt_id, arg_min(kind, (told_at, event_id)) AS kind, min((told_at, event_id)) AS d, min(told_at) AS dispatched_at FROM request_events e JOIN r USING (attempt_id) WHERE kind IN ('dispatch', 'reject', 'recover') AND (told_at, event_id) > r GROUP BY e.attempt_id),
+x AS (SELECT d.attempt_id, d.dispatched_at, d.dispatched_at + INTERVAL 6 HOUR AS due_at, min(told_at) FILTER ((told_at, event_id) > d) AS answered_at FROM d LEFT JOIN request_events e ON e.attempt_id = d.attempt_id AND e.kind IN ('receive', 'fail', 'reject', 'recover') WHERE d.kind = 'dispatch' GROUP BY ALL)
+SELECT attempt_id, strftime(dispatched_at, '%Y-%m-%d %H:%M:%S') AS dispatched_at, strftime(due_at, '%Y-%m-%d %H:%M:%S') AS due_at, answered_at IS NULL AS unanswered FROM x WHERE (answered_at IS NULL OR answered_at > due_at) AND due_at < (SELECT max(told_at) FROM request_events)""")
+def overdue_attempts(spark, folder):
+    late = run_state.overdue(view(spark, folder, "request_events"), "6 hours")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return late.select("attempt_id", shown("dispatched_at"), shown("due_at"), F.col("answered_at").isNull().alias("unanswered"))
 
 
 @query("SELECT request_hash, min(created_at) AS created_at FROM attempts WHERE status = 'received' GROUP BY request_hash")

@@ -53,7 +53,7 @@ SELECT cast(event_id AS string) AS attempt_id, concat('t', cast(user_id % 40 AS
 FROM events""",
     # events of requests, many of which their attempt's state refuses
     "request_events": """
-SELECT concat('a', cast(user_id AS string), '-', cast(cast(floor(event_id / 200) AS int) % 7 AS string)) AS attempt_id, event_id,
+SELECT concat('a', cast(user_id AS string), '-', cast(cast(floor(event_id / 200) AS int) % 7 AS string)) AS attempt_id, event_id, ts AS told_at,
   CASE event_type WHEN 'signup' THEN 'reserve' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'reserve' ELSE 'dispatch' END WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'dispatch' ELSE 'receive' END
     WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'reject' ELSE 'fail' END ELSE CASE WHEN event_id % 4 = 0 THEN 'recover' WHEN event_id % 4 = 1 THEN 'release' WHEN event_id % 4 = 2 THEN 'hold' ELSE NULL END END AS kind
 FROM events""",

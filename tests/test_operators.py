@@ -116,12 +116,6 @@ def test_upper_median_and_ranges(spark):
     assert {(r.scalar_value, r.upper_median, r.warning) for r in report.outliers(df).collect()} == {("1000", 3.0, "outlier"), ("1-2", None, "range")}
 
 
-def test_states(spark):
-    ok = ["INIT", "PREFLIGHT", "PAUSED", "PREFLIGHT", "INPUT_READY", "FAILED"]
-    df = spark.createDataFrame([(r, k, s) for r, states in ((1, ok), (2, ["INIT", "SMOKE"]), (3, ["DONE"]), (4, [*ok, "INIT"])) for k, s in enumerate(states)], "run_id int, event_id int, state string")
-    assert {(r.run_id, r.state) for r in ledger.state_violations(df).collect()} == {(2, "SMOKE"), (3, "DONE"), (4, "INIT")}
-
-
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/001_test.md").write_text("China. 2020.\n\n## References\nx")
