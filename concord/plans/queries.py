@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.functions import body, ids, jsonx, numeric, text, vectors
 from concord.functions.columns import computed
-from concord.operators import answers, consensus, evaluation, ledger, lifecycle, numeric_votes, report, retrieval, run_state, scope, text_votes, verification
+from concord.operators import answers, consensus, evaluation, ledger, lifecycle, numeric_votes, report, retrieval, run_state, running, scope, text_votes, verification
 from concord.plans.views import table, view, with_views
 
 MODELS = [f"m{k}" for k in range(7)]
@@ -587,6 +587,18 @@ def first_cap_breach(spark, folder):
     return ledger.first_breach(view(spark, folder, "attempts").select("user_id", "created_at", "actual_tokens"), 5000, "actual_tokens", "created_at", "user_id").select("user_id", "created_at", "running")
 
 
+@query("""WITH r AS (SELECT created_at AS place, CASE WHEN status IN ('received', 'dispatched', 'unknown', 'reserved') THEN 1 ELSE 0 END AS calls, CASE WHEN status = 'received' THEN actual_tokens WHEN status IN ('reserved', 'dispatched', 'unknown') THEN reserved_tokens ELSE 0 END AS tokens,
+  coalesce(CASE WHEN status = 'received' THEN actual_cost WHEN status IN ('reserved', 'dispatched', 'unknown') THEN reserved_cost END, 0) AS cost FROM attempts),
+s AS (SELECT place, sum(calls) OVER w AS calls, sum(tokens) OVER w AS tokens, sum(cost) OVER w AS cost FROM r WINDOW w AS (ORDER BY place ROWS UNBOUNDED PRECEDING)), l AS (SELECT count(*) // 3 AS n FROM attempts)
+SELECT 'calls' AS limit_name, min(place) AS place, CAST(min(calls) AS DOUBLE) AS running FROM s, l WHERE calls > n HAVING count(*) > 0
+UNION ALL SELECT 'tokens', min(place), CAST(min(tokens) AS DOUBLE) FROM s, l WHERE tokens > 200 * n HAVING count(*) > 0 UNION ALL SELECT 'cost', min(place), min(cost) FROM s, l WHERE cost > 25 * n HAVING count(*) > 0""")
+def run_cap_breach(spark, folder):
+    """All attempts as those of one run, whose limits go with their number; the last of them is kept."""
+    attempts = view(spark, folder, "attempts")
+    n = attempts.count() // 3
+    return running.run_breaches(attempts, "created_at", calls=n, tokens=200 * n, cost=25.0 * n)
+
+
 @query("SELECT task_id, request_hash, count(*) AS attempts FROM attempts GROUP BY ALL HAVING count(*) >= 3")
 def attempt_ceiling(spark, folder):
     return ledger.over_ceiling(view(spark, folder, "attempts"))
