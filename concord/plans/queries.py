@@ -293,10 +293,29 @@ def answer_validation_violations(spark, folder):
     return answers.violations(candidates(spark, folder), "numeric", require_unit=True, require_experimental=True).select("candidate_id", "rule")
 
 
-@query("""SELECT event_id, 'k' AS item, CAST(json_extract(props, '$.k') AS VARCHAR) AS value, 'seen' AS evidence FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
+#: Forms of a reply, with K for a number; the check holds what each must be read as, or that it can't be.
+REPLIES = [
+    "Here it is: {k: {'value': K, evidence: 'seen',},",
+    '{"a, }": {"value": "x,]yK", "evidence": "{"}}',
+    "{k: {value: 0xK, evidence: +K}}",
+    "{k: {value: .5, evidence: 'K.'}, true: {value: -K, evidence: null}}",
+    "{k: {value: 'line \\\non K', evidence: \"it's // no comment\"}}",
+    '{"k": {"value": "K", "evidence": "/* \\u00e9 */"}}',
+    "{/* {K} */ $k_1: {value: 'it\\'s \\x41 K', evidence: \"\\\"\"}, // the end\n}",
+    "{k: {value: K",
+    "{k: {value: K evidence: 'no comma'}}",
+    "{k: {value: [K, 2,], evidence: K}, k: {value: 'again', evidence: Infinity}}",
+]
+
+
+@query("""WITH r AS (SELECT event_id, event_id % 10 AS f, CAST(json_extract(props, '$.k') AS BIGINT) AS n, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL)
+SELECT event_id, 'k' AS item, k AS value, 'seen' AS evidence FROM r WHERE f = 0 UNION ALL SELECT event_id, 'a, }', 'x,]y' || k, '{' FROM r WHERE f = 1
+UNION ALL SELECT event_id, 'k', CAST(n // 10 * 16 + n % 10 AS VARCHAR), k FROM r WHERE f = 2 UNION ALL SELECT event_id, 'k', '0.5', k || '.' FROM r WHERE f = 3 UNION ALL SELECT event_id, 'true', CAST(-n AS VARCHAR), NULL FROM r WHERE f = 3
+UNION ALL SELECT event_id, 'k', 'line on ' || k, 'it''s // no comment' FROM r WHERE f = 4 UNION ALL SELECT event_id, 'k', k, '/* é */' FROM r WHERE f = 5
+UNION ALL SELECT event_id, '$k_1', 'it''s A ' || k, '"' FROM r WHERE f = 6 UNION ALL SELECT event_id, 'k', 'again', 'Infinity' FROM r WHERE f = 9""")
 def json_reply_explode(spark, folder):
-    reply = F.concat(F.lit("Here it is: {k: {'value': "), F.get_json_object("props", "$.k"), F.lit(", evidence: 'seen',},"))
-    rows = table(spark, folder, "events").select("event_id", reply.alias("reply"))
+    form = F.get(F.array(*map(F.lit, REPLIES)), (F.col("event_id") % len(REPLIES)).cast("int"))
+    rows = table(spark, folder, "events").select("event_id", F.replace(form, F.lit("K"), F.get_json_object("props", "$.k")).alias("reply"))
     return jsonx.answer_rows(rows).select("event_id", "item", "value", "evidence")
 
 
