@@ -8,7 +8,7 @@ it answers: paper, question, item, variant and round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from concord.functions import numeric, text, vocab
 from concord.functions.columns import computed
@@ -47,63 +47,74 @@ def prepared(records: DataFrame) -> DataFrame:
     told = F.filter(F.when(F.col("kind") == "numeric", as_number).otherwise(as_text), lambda s: s["value"].isNotNull() & (s["value"] != ""))
     df = computed(df, assertions=F.array_sort(F.array_distinct(told)))
     asserts = F.coalesce(F.col("status"), F.lit("value")) == "value"
+    numeric_kind = asserts & (F.col("kind") == "numeric")
     reason = (
-        F.when(asserts & (F.col("kind") == "numeric") & F.exists("__rows", lambda s: is_blank(s["unit"])), "no_unit")
-        .when(asserts & (F.col("kind") == "numeric") & is_blank("experiment_id"), "no_experiment")
-        .when(asserts & (F.size("assertions") == 0), "malformed_value")
+        F.when(numeric_kind & (F.size("assertions") == 0) & F.exists("__rows", lambda s: ~is_blank(s["value"])), "malformed_value")
+        .when(numeric_kind & F.exists("__rows", lambda s: is_blank(s["unit"])), "no_unit")
+        .when(numeric_kind & is_blank("experiment_id"), "no_experiment")
     )
     return computed(df, status=F.coalesce(F.col("status"), F.lit("value")), uncomparable=reason, experiment_id=F.when(F.col("kind") == "numeric", F.coalesce("experiment_id", F.lit(""))).otherwise(F.lit(""))).drop("__own", "__rows")
 
 
 def by_key(rows: DataFrame, side: str) -> DataFrame:
-    """One row for each key: how many records, their assertions together, and whether any is absent or a diagnostic."""
+    """One row for each key: how many records, their assertions together, and how many are absent, a diagnostic or can't be read."""
+    asserts = (F.col("status") == "value") & F.col("uncomparable").isNull()
     return rows.groupBy(*KEY).agg(
-        F.count_if((F.col("status") == "value") & F.col("uncomparable").isNull()).alias(f"{side}_values"),
+        F.count_if(asserts).alias(f"{side}_values"),
         F.count_if(F.col("status") == "not_reported").alias(f"{side}_absent"),
         F.count_if(~F.col("status").isin("value", "not_reported")).alias(f"{side}_diagnostic"),
-        F.array_distinct(F.flatten(F.collect_list(F.when((F.col("status") == "value") & F.col("uncomparable").isNull(), F.col("assertions"))))).alias(f"{side}_said"),
+        F.count_if(F.col("uncomparable") == "malformed_value").alias(f"{side}_malformed"),
+        F.count("*").alias(f"{side}_rows"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(asserts, F.col("assertions"))))).alias(f"{side}_said"),
     )
 
 
 def cases(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Every key of either side with its outcome, reason, and tp, fp, fn, tn and unmatched.
-
-    A matching key is one true positive, whatever its records; misses count records.
-    A key without counterpart is a miss if something in its context was withheld or
-    unreadable, unmatched otherwise.
+    """Every key of either side with its reason (of several verdicts, joined by +), and tp, fp, fn, tn and unmatched.
+
+    A reference value is found, contradicted, missed (its key was reached without a
+    value, or a value in its context can't be read) or unmatched. A reference absence is
+    judged beside it, by what was predicted at its key: an absence confirms it, else a
+    value is wrong, else it is unmatched. A reference value that was found, contradicted
+    or missed and any reference absence consume their context; a predicted value counts
+    as wrong where no reference value has its key and nothing consumed its context. A
+    matching key is one true positive and a confirmed absence one true negative,
+    whatever their records; errors and misses count records, and so do diagnostic or
+    unreadable records of the reference, which are unmatched.
     """
-    g, p = prepared(gold), prepared(predicted)
-    near = p.groupBy(*CONTEXT).agg(F.count("*").alias("near"), F.count_if(F.col("uncomparable") == "malformed_value").alias("near_malformed"))
-    known = g.groupBy(*CONTEXT).agg(F.count("*").alias("known"))
-    both = by_key(g, "gold").join(by_key(p, "pred"), list(KEY), "full_outer").join(near, list(CONTEXT), "left").join(known, list(CONTEXT), "left")
-    both = both.na.fill(0, [f"{s}_{k}" for s in ("gold", "pred") for k in ("values", "absent", "diagnostic")] + ["near", "near_malformed", "known"])
-    value, absent = F.col("gold_values") > 0, (F.col("gold_absent") > 0) & (F.col("gold_values") == 0)
-    alone = F.col("pred_values") > 0
-    match = value & alone & F.arrays_overlap("gold_said", "pred_said")
-    reason = (
-        F.when(match, "match")
-        .when(value & alone, "value_mismatch")
-        .when(value & ((F.col("pred_absent") > 0) | (F.col("pred_diagnostic") > 0) | (F.col("near_malformed") > 0)), "reference_value_not_published")
-        .when(value & (F.col("near") > 0), "prediction_not_comparable")
-        .when(value, "no_comparable_prediction")
-        .when(absent & (F.col("pred_absent") > 0) & ~alone, "absence_confirmed")
-        .when(absent & alone, "value_where_none_is_reported")
-        .when(absent, "absence_unmatched")
-        .when(alone & (F.col("gold_diagnostic") == 0), "uncovered_prediction")
-        .otherwise("not_judged")
+    counts = [f"{s}_{k}" for s in ("gold", "pred") for k in ("values", "absent", "diagnostic", "malformed", "rows")]
+    both = by_key(prepared(gold), "gold").join(by_key(prepared(predicted), "pred"), list(KEY), "full_outer").na.fill(0, counts)
+    some = lambda name: F.col(name) > 0
+    value, absent, alone = some("gold_values"), some("gold_absent"), some("pred_values")
+    reached = alone | some("pred_absent") | some("pred_diagnostic")
+    within = Window.partitionBy(*CONTEXT)
+    told = both.withColumns(
+        {"near": F.sum("pred_rows").over(within), "near_malformed": F.sum("pred_malformed").over(within), "taken": F.max((value & reached) | absent).over(within), "known": F.max(value).over(within)}
+    )
+    consumed = F.col("taken") | (F.col("known") & some("near_malformed"))
+    found = (
+        F.when(~value, None)
+        .when(alone & F.arrays_overlap("gold_said", "pred_said"), "match")
+        .when(alone, "value_mismatch")
+        .when(reached | some("near_malformed"), "reference_value_not_published")
+        .when(some("near"), "prediction_not_comparable")
+        .otherwise("no_comparable_prediction")
     )
-    both = both.withColumn("reason", reason)
-    counted = lambda *reasons: F.col("reason").isin(*reasons)
-    number = lambda cond, n: F.when(cond, n).otherwise(F.lit(0)).cast("long")
-    return both.withColumns(
+    absence = F.when(~absent, None).when(some("pred_absent"), "absence_confirmed").when(alone, "value_where_none_is_reported").when(some("pred_diagnostic"), "absence_against_diagnostic").otherwise("absence_unmatched")
+    uncovered_ = F.when(~value & alone & ~consumed, "uncovered_prediction")
+    unread = F.when(some("gold_diagnostic") | some("gold_malformed"), "unresolved_reference")
+    told = told.withColumns({"__value": found, "__absence": absence, "__alone": uncovered_, "__unread": unread})
+    told = told.withColumn("reason", F.coalesce(F.nullif(F.concat_ws("+", "__value", "__absence", "__alone", "__unread"), F.lit("")), F.lit("not_judged")))
+    number = lambda name, reasons, n: F.when(F.col(name).isin(*reasons), n).otherwise(F.lit(0)).cast("long")
+    return told.withColumns(
         {
-            "tp": number(counted("match"), F.lit(1)),
-            "fp": number(counted("value_mismatch", "value_where_none_is_reported", "uncovered_prediction"), F.col("pred_values")),
-            "fn": number(counted("value_mismatch", "reference_value_not_published"), F.col("gold_values")),
-            "tn": number(counted("absence_confirmed"), F.lit(1)),
-            "unmatched": number(counted("prediction_not_comparable", "no_comparable_prediction"), F.col("gold_values")) + number(counted("absence_unmatched"), F.col("gold_absent")) + number(counted("not_judged"), F.col("gold_diagnostic")),
+            "tp": number("__value", ["match"], F.lit(1)),
+            "fp": number("__value", ["value_mismatch"], F.col("pred_values")) + number("__absence", ["value_where_none_is_reported"], F.col("pred_values")) + number("__alone", ["uncovered_prediction"], F.col("pred_values")),
+            "fn": number("__value", ["value_mismatch", "reference_value_not_published"], F.col("gold_values")),
+            "tn": number("__absence", ["absence_confirmed"], F.lit(1)),
+            "unmatched": number("__value", ["prediction_not_comparable", "no_comparable_prediction"], F.col("gold_values")) + number("__absence", ["absence_against_diagnostic", "absence_unmatched"], F.col("gold_absent")) + F.col("gold_diagnostic") + F.col("gold_malformed"),
         }
-    ).drop("near", "near_malformed", "known", "gold_said", "pred_said")
+    ).drop("near", "near_malformed", "taken", "known", "gold_said", "pred_said", "gold_malformed", "pred_malformed", "gold_rows", "pred_rows", "__value", "__absence", "__alone", "__unread")
 
 
 def metrics(judged: DataFrame, *by: str) -> DataFrame:
@@ -143,8 +154,9 @@ def support(published: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def contributors(published: DataFrame, candidates: DataFrame) -> DataFrame:
     """Published rows with the candidates of their value: of the same item, or of any where the row is pooled over items."""
-    c = candidates.select("paper_index", "question_index", F.col("item_key").alias("__item"), F.col("normalized_value").alias("__value"), "candidate_id")
-    same = (F.col("ensemble_value") == F.col("__value")) & (F.col("pooled") | (F.col("item_key") == F.col("__item")))
-    c = c.withColumnsRenamed({"paper_index": "__paper", "question_index": "__question"})
-    on = (F.col("paper_index") == F.col("__paper")) & (F.col("question_index") == F.col("__question")) & same
-    return published.join(c, on).drop("__item", "__value", "__paper", "__question")
+    names = {"paper_index": "__paper", "question_index": "__question", "item_key": "__item", "normalized_value": "__value"}
+    c = candidates.select(*names, "candidate_id").withColumnsRenamed(names)
+    on = (F.col("paper_index") == F.col("__paper")) & (F.col("question_index") == F.col("__question")) & (F.col("ensemble_value") == F.col("__value"))
+    pooled = F.coalesce(F.col("pooled"), F.lit(False))
+    alone = published.filter(~pooled).join(c, on & (F.col("item_key") == F.col("__item")))
+    return alone.unionByName(published.filter(pooled).join(c, on)).drop(*names.values())

@@ -505,30 +505,36 @@ def vector_states(spark, folder):
 
 # --- evaluation --------------------------------------------------------------------------------------------------
 
+#: The rules of judging one after another: what each record says, what is known of each key, which contexts are consumed, and each verdict.
 SQL_EVAL = """prep AS (
   SELECT side, paper_uid, question, replace(replace(lower(item), '_', ' '), ' ', '') AS k0, variant, round, experiment_id, status, value, unit,
-    CASE WHEN status <> 'value' THEN NULL WHEN unit IS NULL OR unit = '' THEN 'no_unit' WHEN experiment_id = '' THEN 'no_experiment' WHEN try_cast(value AS double) IS NULL THEN 'malformed_value' END AS why
+    CASE WHEN status <> 'value' THEN NULL WHEN try_cast(value AS double) IS NULL THEN 'malformed_value' WHEN unit IS NULL OR unit = '' THEN 'no_unit' WHEN experiment_id = '' THEN 'no_experiment' END AS why
   FROM (SELECT 'g' AS side, * FROM gold UNION ALL SELECT 'p', * FROM predicted)
 ), rows_ AS (SELECT *, CASE WHEN k0 = 'co2fluxes' THEN 'co2fluxe' ELSE k0 END AS item_key, value || ' ' || array_to_string(list_sort(string_split(unit, ' ')), ' ') AS said FROM prep
+), asserted AS (SELECT DISTINCT side, paper_uid, question, item_key, variant, round, experiment_id, said FROM rows_ WHERE status = 'value' AND why IS NULL
+), agreed AS (SELECT DISTINCT paper_uid, question, item_key, variant, round, experiment_id FROM asserted g JOIN asserted p USING (paper_uid, question, item_key, variant, round, experiment_id, said) WHERE g.side = 'g' AND p.side = 'p'
 ), k AS (
   SELECT paper_uid, question, item_key, variant, round, experiment_id,
     count(*) FILTER (side = 'g' AND status = 'value' AND why IS NULL) AS gold_values, count(*) FILTER (side = 'g' AND status = 'not_reported') AS gold_absent, count(*) FILTER (side = 'g' AND status NOT IN ('value', 'not_reported')) AS gold_diagnostic,
     count(*) FILTER (side = 'p' AND status = 'value' AND why IS NULL) AS pred_values, count(*) FILTER (side = 'p' AND status = 'not_reported') AS pred_absent, count(*) FILTER (side = 'p' AND status NOT IN ('value', 'not_reported')) AS pred_diagnostic,
-    list_has_any(list(said) FILTER (side = 'g' AND status = 'value' AND why IS NULL), list(said) FILTER (side = 'p' AND status = 'value' AND why IS NULL)) AS same
+    count(*) FILTER (side = 'g' AND why = 'malformed_value') AS gold_bad
   FROM rows_ GROUP BY ALL
 ), ctx AS (SELECT paper_uid, question, item_key, variant, round, count(*) AS near, count(*) FILTER (why = 'malformed_value') AS bad FROM rows_ WHERE side = 'p' GROUP BY ALL
-), cases AS (
-  SELECT k.*, CASE WHEN gold_values > 0 AND pred_values > 0 THEN CASE WHEN same THEN 'match' ELSE 'value_mismatch' END
-    WHEN gold_values > 0 AND (pred_absent > 0 OR pred_diagnostic > 0 OR coalesce(bad, 0) > 0) THEN 'reference_value_not_published' WHEN gold_values > 0 AND coalesce(near, 0) > 0 THEN 'prediction_not_comparable' WHEN gold_values > 0 THEN 'no_comparable_prediction'
-    WHEN gold_absent > 0 AND pred_values > 0 THEN 'value_where_none_is_reported' WHEN gold_absent > 0 AND pred_absent > 0 THEN 'absence_confirmed' WHEN gold_absent > 0 THEN 'absence_unmatched'
-    WHEN pred_values > 0 AND gold_diagnostic = 0 THEN 'uncovered_prediction' ELSE 'not_judged' END AS reason
-  FROM k LEFT JOIN ctx USING (paper_uid, question, item_key, variant, round)
+), v AS (
+  SELECT k.*, CASE WHEN gold_values = 0 THEN NULL WHEN pred_values > 0 AND a.paper_uid IS NOT NULL THEN 'match' WHEN pred_values > 0 THEN 'value_mismatch' WHEN pred_absent + pred_diagnostic > 0 OR coalesce(bad, 0) > 0 THEN 'reference_value_not_published'
+    WHEN near > 0 THEN 'prediction_not_comparable' ELSE 'no_comparable_prediction' END AS value_,
+    CASE WHEN gold_absent = 0 THEN NULL WHEN pred_absent > 0 THEN 'absence_confirmed' WHEN pred_values > 0 THEN 'value_where_none_is_reported' WHEN pred_diagnostic > 0 THEN 'absence_against_diagnostic' ELSE 'absence_unmatched' END AS absence_
+  FROM k LEFT JOIN ctx USING (paper_uid, question, item_key, variant, round) LEFT JOIN agreed a USING (paper_uid, question, item_key, variant, round, experiment_id)
+), consumed AS (SELECT DISTINCT paper_uid, question, item_key, variant, round FROM v WHERE value_ IN ('match', 'value_mismatch', 'reference_value_not_published') OR absence_ IS NOT NULL
+), wrong AS (SELECT paper_uid, question, item_key, variant, round, experiment_id, 'uncovered_prediction' AS alone_ FROM v ANTI JOIN consumed USING (paper_uid, question, item_key, variant, round) WHERE pred_values > 0 AND gold_values = 0
 ), judged AS (
-  SELECT paper_uid, question, item_key, variant, round, experiment_id, gold_values, gold_absent, gold_diagnostic, pred_values, pred_absent, pred_diagnostic, reason,
-    CASE WHEN reason = 'match' THEN 1 ELSE 0 END AS tp, CASE WHEN reason IN ('value_mismatch', 'value_where_none_is_reported', 'uncovered_prediction') THEN pred_values ELSE 0 END AS fp,
-    CASE WHEN reason IN ('value_mismatch', 'reference_value_not_published') THEN gold_values ELSE 0 END AS fn, CASE WHEN reason = 'absence_confirmed' THEN 1 ELSE 0 END AS tn,
-    CASE WHEN reason IN ('prediction_not_comparable', 'no_comparable_prediction') THEN gold_values WHEN reason = 'absence_unmatched' THEN gold_absent WHEN reason = 'not_judged' THEN gold_diagnostic ELSE 0 END AS unmatched
-  FROM cases
+  SELECT paper_uid, question, item_key, variant, round, experiment_id, gold_values, gold_absent, gold_diagnostic, pred_values, pred_absent, pred_diagnostic,
+    coalesce(nullif(concat_ws('+', value_, absence_, alone_, CASE WHEN gold_diagnostic + gold_bad > 0 THEN 'unresolved_reference' END), ''), 'not_judged') AS reason,
+    CASE WHEN value_ = 'match' THEN 1 ELSE 0 END AS tp,
+    CASE WHEN value_ = 'value_mismatch' THEN pred_values ELSE 0 END + CASE WHEN absence_ = 'value_where_none_is_reported' THEN pred_values ELSE 0 END + CASE WHEN alone_ IS NOT NULL THEN pred_values ELSE 0 END AS fp,
+    CASE WHEN value_ IN ('value_mismatch', 'reference_value_not_published') THEN gold_values ELSE 0 END AS fn, CASE WHEN absence_ = 'absence_confirmed' THEN 1 ELSE 0 END AS tn,
+    CASE WHEN value_ IN ('prediction_not_comparable', 'no_comparable_prediction') THEN gold_values ELSE 0 END + CASE WHEN absence_ IN ('absence_against_diagnostic', 'absence_unmatched') THEN gold_absent ELSE 0 END + gold_diagnostic + gold_bad AS unmatched
+  FROM v LEFT JOIN wrong USING (paper_uid, question, item_key, variant, round, experiment_id)
 )"""
 
 
@@ -562,7 +568,7 @@ def uncovered_predictions(spark, folder):
     return evaluation.uncovered(key(view(spark, folder, "gold")), key(view(spark, folder, "predicted"))).groupBy("paper_uid", "experiment_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT kind, CASE WHEN status <> 'value' THEN 'comparable' WHEN unit IS NULL THEN 'no_unit' WHEN experiment_id = '' THEN 'no_experiment' WHEN try_cast(value AS double) IS NULL THEN 'malformed_value' ELSE 'comparable' END AS reason, count(*) AS n FROM predicted GROUP BY ALL")
+@query("SELECT kind, CASE WHEN status <> 'value' THEN 'comparable' WHEN try_cast(value AS double) IS NULL THEN 'malformed_value' WHEN unit IS NULL THEN 'no_unit' WHEN experiment_id = '' THEN 'no_experiment' ELSE 'comparable' END AS reason, count(*) AS n FROM predicted GROUP BY ALL")
 def uncomparable_records(spark, folder):
     return evaluation.excluded(view(spark, folder, "predicted")).withColumn("kind", F.lit("numeric"))
 

@@ -62,12 +62,12 @@ FROM events""",
 SELECT 'numeric' AS kind, concat('p', cast(l_orderkey % 2003 AS string)) AS paper_uid, 1 AS question, CASE WHEN l_linenumber % 2 = 0 THEN 'CH4_flux' ELSE 'CO2 fluxes' END AS item, '00_full' AS variant, 1 AS round,
   CASE WHEN l_suppkey % 20 = 0 THEN '' ELSE concat('e', cast(l_partkey % 3 AS string)) END AS experiment_id, CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE 'mg m-2 h-1' END AS unit,
   CASE WHEN l_suppkey % 23 = 0 THEN 'unknown' ELSE cast(10 + cast(l_quantity AS int) % 4 AS string) END AS value, CASE WHEN l_linenumber = 3 AND l_orderkey % 4 = 0 THEN 'not_reported' WHEN l_linenumber = 7 THEN 'below_consensus' ELSE 'value' END AS status
-FROM lineitem WHERE l_orderkey % 3 = 0""",
+FROM lineitem""",
     "gold": """
-SELECT 'numeric' AS kind, concat('p', cast(o_orderkey % 2003 AS string)) AS paper_uid, 1 AS question, CASE WHEN o_custkey % 2 = 0 THEN 'CH4 flux' ELSE 'co2 flux' END AS item, '00_full' AS variant, 1 AS round,
+SELECT 'numeric' AS kind, concat('p', cast(o_orderkey % 4001 AS string)) AS paper_uid, 1 AS question, CASE WHEN o_custkey % 2 = 0 THEN 'CH4 flux' ELSE 'co2 flux' END AS item, '00_full' AS variant, 1 AS round,
   concat('e', cast(o_custkey % 3 AS string)) AS experiment_id, CASE WHEN o_custkey % 2 = 0 THEN 'h-1 mg m-2' ELSE 'mg m-2 h-1' END AS unit, cast(10 + o_orderkey % 4 AS string) AS value,
   CASE WHEN o_orderkey % 10 = 0 THEN 'not_reported' WHEN o_orderkey % 31 = 0 THEN 'unclear' ELSE 'value' END AS status
-FROM orders WHERE o_orderkey % 2 = 0""",
+FROM orders""",
     # texts without an ending heading, with one, and with a contents list and two
     "papers": r"""
 SELECT doc_id, lang, source, text, CASE cast(doc_id % 3 AS int) WHEN 0 THEN concat('# Introduction', chr(10), text) WHEN 1 THEN concat('# Introduction', chr(10), text, chr(10), '## References', chr(10), '1. ', source)

@@ -92,6 +92,34 @@ def test_evaluation(spark):
     assert judged(spark, [{}], [{"value": "n.n."}])[:3] == (0, 0, 1)
 
 
+def test_consumed_contexts_and_absences_beside_values(spark):
+    e2, absent, diagnostic = {"experiment_id": "exp2"}, {"status": "not_reported", "value": None}, {"status": "parse_failure", "value": None}
+    counts = lambda gold, predicted: judged(spark, gold, predicted)[:4]
+    # a context that a reference record has consumed charges no further prediction
+    assert counts([{"value": "5"}], [{"value": "6"}, {**e2, "value": "7"}]) == (0, 1, 1, 0)
+    assert counts([absent], [{**e2, "value": "7"}]) == (0, 0, 0, 0)
+    assert counts([{}], [diagnostic, {**e2, "value": "7"}]) == (0, 0, 1, 0)
+    assert counts([{}], [{**e2, "value": "n.n."}, {**e2, "value": "7"}]) == (0, 0, 1, 0)
+    # one that nothing consumed does
+    assert counts([{}], [{**e2, "value": "7"}]) == (0, 1, 0, 0)
+    # a key with a value and an absence is judged for both
+    assert counts([{}, absent], [absent]) == (0, 0, 1, 1)
+    assert counts([{}, absent], [{}]) == (1, 1, 0, 0)
+    # an absence is confirmed by an absence, whatever else is predicted there
+    assert counts([absent], [absent, {"value": "7"}]) == (0, 0, 0, 1)
+    assert counts([absent], [{"value": "7"}]) == (0, 1, 0, 0) and counts([absent], [diagnostic]) == (0, 0, 0, 0) and counts([absent], []) == (0, 0, 0, 0)
+    # a reference that is a diagnostic says nothing of its key
+    assert counts([diagnostic], [{}]) == (0, 1, 0, 0)
+    # what can't be read is so before its unit is looked at
+    assert counts([{}], [{"value": "n.n.", "unit": None}]) == (0, 0, 1, 0)
+
+
+def test_contributors(spark):
+    published = spark.createDataFrame([("p", 1, "a", "5", False), ("p", 1, "b", "6", True), ("p", 1, "c", "7", None)], "paper_index string, question_index int, item_key string, ensemble_value string, pooled boolean")
+    candidates = spark.createDataFrame([("p", 1, "a", "5", "c1"), ("p", 1, "b", "5", "c2"), ("p", 1, "a", "6", "c3"), ("p", 1, "b", "6", "c4"), ("p", 2, "a", "5", "c5"), ("p", 1, "c", "7", "c6")], "paper_index string, question_index int, item_key string, normalized_value string, candidate_id string")
+    assert sorted(r.candidate_id for r in evaluation.contributors(published, candidates).collect()) == ["c1", "c3", "c4", "c6"]
+
+
 def test_cross_scores_can_be_repeated(spark):
     df = rows(spark, {"model": "A"}, {"model": "B"})
     votes = spark.createDataFrame([("c0", "A", "B", 1, "q"), ("c0", "A", "C", 1, " "), ("c0", "A", "C", 0, ""), ("c0", "A", "A", 1, "q"), ("c1", "B", "C", -1, "q")], "candidate_id string, input_model string, output_model string, existing_flag int, direct_quote string")
