@@ -102,27 +102,6 @@ def joined_distinct(values: Column, separator: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(F.when(values != "", values))), separator)
 
 
-# Fixed patterns: parts of a text that may hold a secret.
-SECRETS = (
-    (r"(?i)(https?://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@"),
-    (r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/=-]+", "$1 [REDACTED]"),
-    (r"(?i)\b((?:api[_-]?)?key|token|secret|password|authorization)(\"?\s*[:=]\s*\"?)(?!\[REDACTED\])(?!bearer\b)[^\s\"',;&}]+", "$1$2[REDACTED]"),
-)
-
-
-def redact(text: Column | str) -> Column:
-    """The text without user names in URLs, bearer tokens and values of secret keys."""
-    c = as_column(text)
-    for pattern, shown in SECRETS:
-        c = F.regexp_replace(c, pattern, shown)
-    return c
-
-
-def redact_keys(values: Column | str) -> Column:
-    """A map with the values of secret keys replaced."""
-    return F.transform_values(as_column(values), lambda k, v: F.when(F.lower(k).rlike("key|token|secret|password|authorization"), F.lit("[REDACTED]")).otherwise(redact(v)))
-
-
 def endpoint(url: Column | str) -> Column:
     """Scheme and host in lower case, no slash at the end; null for other schemes and where it has credentials, a query or a fragment."""
     c = strip(url)

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from concord.functions import body, coords, ids, jsonx, numeric, periods, text, vectors
+from concord.functions import body, coords, ids, jsonx, numeric, periods, secrets, text, vectors
 
 NUMBERS = [
     ("10-20", "10-20"), ("10–20", "10-20"), ("10 ~ 20", "10-20"), ("10 to 20", "10-20"), ("20-10", "10-20"), ("-10 to -20", "-20--10"), ("-10 to 20", "-10-20"), ("+5 to +10", "5-10"),
@@ -65,7 +65,7 @@ def test_items_and_text(spark):
     one = spark.range(1)
     got = one.select(text.paper_id(F.lit("1.0")), text.paper_id(F.lit("123")), text.paper_id(F.lit(" Smith_2020 ")), text.paper_prefix(F.lit("/x/001_test.md")), text.endpoint(F.lit("HTTPS://Api.X.com/V1/")), text.endpoint(F.lit("https://u:p@x.com")), text.model_name(F.lit("a/b/c"))).first()
     assert tuple(got) == ("01", "123", "Smith_2020", "001", "https://api.x.com/V1", None, "c")
-    assert one.select(text.redact(F.lit("https://u:p@h/x Bearer abc token=zz"))).first()[0] == "https://[REDACTED]@h/x Bearer [REDACTED] token=[REDACTED]"
+    assert one.select(secrets.redact(F.lit("https://u:p@h/x?token=zz Bearer abc"))).first()[0] == "https://[REDACTED]@h/x?token=[REDACTED] Bearer [REDACTED]"
 
 
 def test_candidate_ids_are_canonical_json(spark):
