@@ -325,3 +325,15 @@ def test_rows_of_a_large_bucket_grow_with_its_members(spark):
             met.setdefault(r.block, {0: set(), 1: set()})[r.side].add(r.rep)
         pairs = {(a, b) for m in met.values() for a in m[0] | m[1] for b in m[0] | m[1] if (a in m[0]) != (b in m[0]) or not m[1] or not m[0]}
         assert all((a, b) in pairs or (b, a) in pairs for a in range(3) for b in range(3, n))
+
+
+@pytest.mark.parametrize("few", [8, 1])
+def test_no_link_of_a_leaf_with_many_families_is_lost(spark, documents, monkeypatch, few):
+    """Forty families of twelve lines that all share the leaf and the last three words; any two lines of a family agree in exactly 0.8."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    free = lambda f, k: [f"w{chr(97 + f % 26)}{chr(97 + f // 26)}{chr(97 + k)}{c}" for c in "xyz"]
+    lines = [(f, " ".join(["all", "begin", "alike", *[f"f{chr(97 + f % 26)}{chr(97 + f // 26)}{chr(97 + j)}" for j in range(6)], *free(f, k), "and", "end", "so"])) for f in range(40) for k in range(12)]
+    word = lambda n, j: "q" + "".join(chr(97 + x) for x in (n % 26, n // 26, j % 26, j // 26))
+    rows = [(n, " ".join(word(n, j) for j in range(40)) + "\n" + line) for n, (_, line) in enumerate(lines)]
+    got = line_dedup.dedup_lines(documents(rows)).collect()
+    assert sum(r.n_dropped for r in got) == 480 and all("begin" not in r.text for r in got)
