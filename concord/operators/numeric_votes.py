@@ -14,8 +14,8 @@ from concord.functions.columns import computed
 KEYS = ("paper_index", "question_index")
 
 
-def prepared(df: DataFrame, conf_col: str | None = None, merge_none_mixed: bool = True, equivalence: bool = True, drop_bad: bool = True, theme: str | None = None) -> DataFrame:
-    """df with item_norm, item_equiv, conf and the number columns; rows of bad items left out."""
+def named(df: DataFrame, conf_col: str | None = None, merge_none_mixed: bool = True, equivalence: bool = True, drop_bad: bool = True, theme: str | None = None) -> DataFrame:
+    """df with item_norm, item_equiv and conf; rows of bad items left out."""
     found = numeric.confidence_column(df, conf_col)
     if drop_bad:
         df = df.filter(F.col("item").isNull() | (F.col("item") != vocab.BAD_ITEM))
@@ -24,7 +24,16 @@ def prepared(df: DataFrame, conf_col: str | None = None, merge_none_mixed: bool
     df = computed(df, item_equiv=key, conf=numeric.confidence(found) if found else F.lit(1.0))
     if "model" not in df.columns:
         df = df.withColumn("model", F.lit(None).cast("string"))
-    return numeric.with_value_unit(df, "value", "unit" if "unit" in df.columns else None)
+    return df
+
+
+def prepared(df: DataFrame, **options) -> DataFrame:
+    """`named` rows with the number columns."""
+    return with_numbers(named(df, **options))
+
+
+def with_numbers(rows: DataFrame) -> DataFrame:
+    return numeric.with_value_unit(rows, "value", "unit" if "unit" in rows.columns else None)
 
 
 def valid(df: DataFrame, meaningless: tuple[str, ...] = vocab.MEANINGLESS_NUMERIC) -> DataFrame:
@@ -46,13 +55,12 @@ def null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str
 
 def tally(df: DataFrame, meaningless: tuple[str, ...] = vocab.MEANINGLESS_NUMERIC, **options) -> DataFrame:
     """A row for each value of each item: count of rows, confidence_sum, the sorted models."""
-    rows = prepared(df, **options)
-    boxes = valid(rows, meaningless).groupBy(*KEYS, "item_equiv", "normalized_value").agg(
+    rows = named(df, **options)
+    boxes = valid(with_numbers(rows), meaningless).groupBy(*KEYS, "item_equiv", "normalized_value").agg(
         F.count("*").alias("count"), F.sum("conf").alias("confidence_sum"), text.joined_distinct(F.trim(F.col("model").cast("string")), ",").alias("models"),
         F.coalesce(F.min(F.when(F.col("unit_norm") != "", F.col("unit_norm"))), F.lit("")).alias("unit"), F.bool_or("unit_is_explicit").alias("unit_is_explicit"), F.min("scalar_value").alias("scalar_value"),
     )
-    named = null_safe(boxes, representative_items(rows), (*KEYS, "item_equiv"))
-    return named.select(*KEYS, "item", "normalized_value", "scalar_value", "unit", "unit_is_explicit", "count", "confidence_sum", "models")
+    return null_safe(boxes, representative_items(rows), (*KEYS, "item_equiv")).select(*KEYS, "item", "normalized_value", "scalar_value", "unit", "unit_is_explicit", "count", "confidence_sum", "models")
 
 
 def shown_value() -> Column:
@@ -82,33 +90,46 @@ def decimal_majority(df: DataFrame, ratio: float = 0.5, by: tuple[str, ...] = ("
     return rows.groupBy(*by).agg(F.count("*").alias("n_values"), F.count_if(numeric.is_long_decimal("scalar_value")).alias("n_long"), (share >= ratio).alias("decimals_majority"))
 
 
+def pool_of() -> dict[str, Column]:
+    """Aggregates of the boxes of one value over several items."""
+    split = F.flatten(F.collect_list(F.split("models", ",")))
+    return {
+        "vote_count": F.sum("count"), "models": F.array_join(F.array_sort(F.filter(F.array_distinct(split), lambda m: m != "")), ","),
+        "item": F.coalesce(F.min(F.when(F.trim("item") != "", F.trim("item"))), F.lit("")), "unit": F.coalesce(F.min(F.when(F.col("unit") != "", F.col("unit"))), F.lit("")),
+        "unit_is_explicit": F.bool_or("unit_is_explicit"), "scalar_value": F.min("scalar_value"),
+    }
+
+
 def pooled(boxes: DataFrame) -> DataFrame:
     """All candidate values of each question with their votes over all its items, named by the first item."""
-    split = F.flatten(F.collect_list(F.split("models", ",")))
-    pool = boxes.groupBy(*KEYS, "normalized_value").agg(
-        F.sum("count").alias("vote_count"), F.array_join(F.array_sort(F.filter(F.array_distinct(split), lambda m: m != "")), ",").alias("models"),
-        F.min(F.when(F.trim("item") != "", F.trim("item"))).alias("item"), F.coalesce(F.min(F.when(F.col("unit") != "", F.col("unit"))), F.lit("")).alias("unit"),
-        F.bool_or("unit_is_explicit").alias("unit_is_explicit"), F.min("scalar_value").alias("scalar_value"),
-    )
-    return pool.select(*KEYS, F.coalesce("item", F.lit("")).alias("item"), shown_value().alias("ensemble_value"), "unit", "unit_is_explicit", "vote_count", "models")
+    pool = boxes.groupBy(*KEYS, "normalized_value").agg(*[c.alias(n) for n, c in pool_of().items()])
+    return pool.select(*KEYS, "item", shown_value().alias("ensemble_value"), "unit", "unit_is_explicit", "vote_count", "models")
 
 
 def ensemble(df: DataFrame, ratio: float = 0.5, prefer: str = "votes", second: str = "confidence", meaningless: tuple[str, ...] = vocab.MEANINGLESS_NUMERIC, **options) -> DataFrame:
-    """Results: pooled candidates for papers of mostly long decimals, else a winner for each item."""
-    boxes = tally(df, meaningless, **options)
-    mode = decimal_majority(df, ratio, meaningless=meaningless).select("paper_index", "decimals_majority")
-    told = null_safe(boxes, mode, ("paper_index",), "left")
-    short = told.filter(~F.coalesce("decimals_majority", F.lit(False))).drop("decimals_majority")
-    return winners(short, prefer, second).select(*RESULT).unionByName(pooled(told.filter("decimals_majority").drop("decimals_majority")).select(*RESULT))
+    """Results: pooled candidates for papers of mostly long decimals, else a winner for each item.
+
+    Both come from one grouping of the tally: a pooled row's group is its value, another's its item.
+    """
+    mode = decimal_majority(df, ratio, meaningless=meaningless).filter("decimals_majority").select("paper_index", "decimals_majority")
+    told = null_safe(tally(df, meaningless, **options), mode, ("paper_index",), "left")
+    pools = F.coalesce("decimals_majority", F.lit(False))
+    told = told.withColumns({"__pools": pools, "__item": F.when(~pools, F.col("item")), "__value": F.when(pools, F.col("normalized_value"))}).drop("decimals_majority")
+    best = F.max_by(F.struct("item", "normalized_value", "scalar_value", "unit", "unit_is_explicit", F.col("count").alias("vote_count"), "models"), order_of(prefer, second))
+    pool = F.struct(*[c.alias(n) for n, c in pool_of().items()])
+    out = told.groupBy(*KEYS, "__pools", "__item", "__value").agg(best.alias("best"), pool.alias("pool"))
+    names = ("item", "normalized_value", "scalar_value", "unit", "unit_is_explicit", "vote_count", "models")
+    of = lambda n: F.when(F.col("__pools"), F.col("__value") if n == "normalized_value" else F.col(f"pool.{n}")).otherwise(F.col(f"best.{n}")).alias(n)
+    return out.select(*KEYS, *[of(n) for n in names]).withColumn("ensemble_value", shown_value()).select(*RESULT)
 
 
 def value_options(df: DataFrame, topk: int | None = None, prefer: str = "votes", second: str = "confidence", meaningless: tuple[str, ...] = vocab.MEANINGLESS_NUMERIC, **options) -> DataFrame:
     """Every value of each item of a paper: shares, up to five samples, ranks and winners."""
-    rows = prepared(df, **options)
+    rows = named(df, **options)
     counts = rows.groupBy("paper_index", "item_equiv", "item_norm").agg(F.count("*").alias("n"))
     names = counts.groupBy("paper_index", "item_equiv").agg(F.min(F.struct((-F.col("n")).alias("n"), "item_norm"))["item_norm"].alias("item"))
     raw = F.trim(F.col("value").cast("string"))
-    boxes = valid(rows, meaningless).groupBy("paper_index", "item_equiv", F.col("normalized_value").alias("value_norm")).agg(
+    boxes = valid(with_numbers(rows), meaningless).groupBy("paper_index", "item_equiv", F.col("normalized_value").alias("value_norm")).agg(
         F.count("*").alias("count"), F.sum("conf").alias("confidence_sum"), text.joined_distinct(F.trim(F.col("model").cast("string")), ",").alias("models"),
         F.array_join(F.slice(F.array_sort(F.collect_set(F.when(raw != "", raw))), 1, 5), ", ").alias("raw_samples"),
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.operators import answers, consensus, evaluation, ledger, numeric_votes, report, text_votes, verification
+from concord.plans.queries import QUERIES
 from concord.sources import sinks, tables
 from concord.streaming import events as streaming
 
@@ -223,3 +224,9 @@ def test_short_quotes_are_found(spark, tmp_path, monkeypatch):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     want = con.execute(queries.ORACLE["quote_in_context"]).fetchall()
     assert dict(map(tuple, queries.QUERIES["quote_in_context"](spark, str(tmp_path)).collect())) == dict(want)
+
+
+@pytest.mark.parametrize("name, parsers, scans", [("numeric_vote_tally", 1, 2), ("value_options_summary", 1, 2), ("dual_threshold_consensus", 1, 1), ("numeric_ensemble", 2, 3)])
+def test_numbers_are_parsed_once_a_row(spark, name, parsers, scans):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("ArrowEvalPython"), plan.count("FileScan")) == (parsers, scans)
