@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.functions import body, ids, jsonx, numeric, secrets, text, vectors
 from concord.functions.columns import computed
-from concord.operators import answers, consensus, evaluation, ledger, lifecycle, numeric_votes, report, retrieval, run_state, running, scope, text_votes, verification
+from concord.operators import answers, consensus, evaluation, ledger, lifecycle, numeric_votes, report, retrieval, run_state, running, scope, snapshot, text_votes, verification
 from concord.plans.views import table, view, with_views
+from concord.sources import ledger_log, shared
 
 MODELS = [f"m{k}" for k in range(7)]
 #: Short quotes that go out at once.
@@ -801,3 +802,66 @@ def context_cache_use(spark, folder):
 def display_name_collisions(spark, folder):
     models = table(spark, folder, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Model").otherwise("model"), F.col("s_nationkey").cast("string")).alias("model"))
     return scope.display_collisions(models)
+
+
+# --- ledger log and frozen inputs --------------------------------------------------------------------------------
+
+
+@query("""WITH ends AS (SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END, event_id) AS status FROM events WHERE user_id % 3 <> 0 GROUP BY user_id),
+refused AS (SELECT concat('t', cast(user_id AS VARCHAR)) AS task_id, 'another identity' AS refused FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 5 = 0) UNION ALL SELECT concat('x', cast(user_id AS VARCHAR)), 'unknown task' FROM ends WHERE user_id % 7 = 0)
+SELECT coalesce(p.task_id, r.task_id) AS task_id, p.stage, p.status, r.refused FROM (SELECT DISTINCT concat('t', cast(e.user_id AS VARCHAR)) AS task_id, 'examiner' AS stage, coalesce(n.status, 'planned') AS status FROM events e LEFT JOIN ends n USING (user_id)) p FULL JOIN refused r ON p.task_id = r.task_id""")
+def ledger_log_tasks(spark, folder):
+    """Users as tasks in a shared log: planned, partly planned again under another stage, ended; states and refusals are read back."""
+    events, path = table(spark, folder, "events"), shared.new_path(spark, "ledger-log")
+    name = F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("task_id")
+    users = events.select("user_id").distinct()
+    ledger_log.put_tasks(users.select(name, F.lit("examiner").alias("stage"), F.lit("{}").alias("payload")), path)
+    ledger_log.put_tasks(users.filter("user_id % 5 = 0").select(name, F.lit("cross").alias("stage"), F.lit("{}").alias("payload")), path)
+    status = F.max_by(F.when(F.col("event_type") == "error", "failed").otherwise("succeeded"), "event_id")
+    ends = events.filter("user_id % 3 <> 0").groupBy("user_id").agg(status.alias("status")).withColumns({"artifacts": F.lit("[]"), "error": F.lit(None).cast("string")})
+    strangers = ends.filter("user_id % 7 = 0").select(F.concat(F.lit("x"), F.col("user_id").cast("string")).alias("task_id"), "status", "artifacts", "error")
+    ledger_log.finish_tasks(ends.select(name, "status", "artifacts", "error").unionByName(strangers), path)
+    log = ledger_log.read(spark, path)
+    refused = ledger_log.refusals(log).select(F.col("key").alias("task_id"), F.col("reason").alias("refused"))
+    return ledger_log.tasks(log).select("task_id", "stage", "status").join(refused, "task_id", "full_outer")
+
+
+SQL_FILES = "files AS (SELECT concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', cast(doc_id AS VARCHAR)) AS path, sha256(text) AS sha256, doc_id FROM documents)"
+
+
+def _files(spark, folder) -> DataFrame:
+    """Documents as files below their source and language."""
+    none = lambda c: F.coalesce(F.col(c), F.lit("none"))
+    return table(spark, folder, "documents").select(F.concat_ws("/", none("source"), none("lang"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id")
+
+
+@query(f"""WITH {SQL_FILES}, above AS (SELECT '' AS folder, * FROM files UNION ALL SELECT string_split(path, '/')[1], * FROM files UNION ALL SELECT string_split(path, '/')[1] || '/' || string_split(path, '/')[2], * FROM files),
+parts AS (SELECT folder, left(sha256(path), 3) AS part, count(*) AS n, sha256(string_agg(sha256(path) || ':' || coalesce(sha256, '') || chr(10), '' ORDER BY sha256(path), sha256)) AS digest FROM above GROUP BY ALL)
+SELECT folder, sum(n)::BIGINT AS n_files, sha256(string_agg(part || ':' || digest || chr(10), '' ORDER BY part)) AS digest FROM parts GROUP BY folder""")
+def folder_digests(spark, folder):
+    return snapshot.folders(snapshot.parts(_files(spark, folder)))
+
+
+@query(f"""WITH {SQL_FILES}, now AS (SELECT path, CASE WHEN doc_id % 89 = 3 THEN 'other' ELSE sha256 END AS sha256 FROM files WHERE doc_id % 97 <> 5 UNION ALL SELECT 'new/' || path, sha256 FROM files WHERE doc_id % 101 = 7)
+SELECT coalesce(f.path, n.path) AS path, CASE WHEN f.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM files f FULL JOIN now n ON f.path = n.path WHERE f.path IS NULL OR n.path IS NULL OR f.sha256 IS DISTINCT FROM n.sha256""")
+def snapshot_difference(spark, folder):
+    """All documents as a frozen tree against a state in which some are gone, some differ and some are new."""
+    files = _files(spark, folder)
+    now = files.filter("doc_id % 97 <> 5").withColumn("sha256", F.when(F.col("doc_id") % 89 == 3, "other").otherwise(F.col("sha256")))
+    new = files.filter("doc_id % 101 = 7").withColumn("path", F.concat(F.lit("new/"), "path"))
+    return snapshot.difference(files.select("path", "sha256"), now.unionByName(new).select("path", "sha256"))
+
+
+@query("""WITH done AS (SELECT doc_id FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0)
+SELECT 'missing_task' AS check, cast(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id % 11 = 0 OR doc_id % 13 = 0
+UNION ALL SELECT 'unproven_task', cast(doc_id AS VARCHAR) FROM done WHERE doc_id % 17 = 0
+UNION ALL SELECT 'changed_artifact', cast(doc_id AS VARCHAR) FROM documents WHERE doc_id % 17 <> 0 AND ((doc_id % 19 = 0 AND text IS NOT NULL) OR coalesce(strlen(text), 0) = 0)
+UNION ALL SELECT 'missing_stage', 'ensemble'""")
+def final_check(spark, folder):
+    """A document's answer as a task with a receipt for its text; some failed, some have no receipt, some texts were changed."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("doc_id").cast("string").alias("task_id"), "text")
+    tasks = docs.filter("doc_id % 11 <> 0").select("task_id", F.lit("composite").alias("stage"), F.when(F.col("doc_id") % 13 == 0, "failed").otherwise("succeeded").alias("status"))
+    receipts = docs.filter("doc_id % 17 <> 0").select("task_id", F.col("task_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    now = F.when(F.col("doc_id") % 19 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    files = docs.select(F.col("task_id").alias("path"), F.sha2(now, 256).alias("sha256"), F.octet_length("text").alias("bytes"))
+    return snapshot.final_check(docs, tasks, receipts, files, ("composite", "ensemble"))
