@@ -1,9 +1,9 @@
-"""A paper's body, chunks of it and its tokens: what needs a scan over the text, as Arrow UDFs."""
+"""A paper's body and its tokens: what needs a scan over the text, as Arrow UDFs."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 # Headings that end a body (blanks within the Chinese ones count for nothing), the English words that may
 # stand in brackets behind one, and headings that show a contents list still stands before it.
@@ -61,50 +61,6 @@ def body(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or t != t else body_of(t) for t in texts], dtype=object)
 
 
-#: Where a text is parted, best first: headings, paragraphs, lines, sentences, words, characters.
-BREAKS = ("\n# ", "\n## ", "\n### ", "\n\n", "\n", ". ", " ", "")
-
-
-def pieces(text: str, size: int, breaks: tuple[str, ...] = BREAKS) -> list[str]:
-    """The text in pieces of at most `size` characters, parted as early in `breaks` as each allows."""
-    if len(text) <= size:
-        return [text] if text else []
-    mark, rest = breaks[0], breaks[1:]
-    if not mark:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    out, at = [], 0
-    while at < len(text):
-        end = text.find(mark, at + 1)
-        end = len(text) if end < 0 else end
-        out += pieces(text[at:end], size, rest)
-        at = end
-    return out
-
-
-def chunks_of(text: str, size: int = 2048, overlap_percent: float = 20) -> list[str]:
-    """Runs of whole pieces of at most `size` characters, each beginning with the last ones of the run before, up to the overlap."""
-    overlap = int(size * overlap_percent / 100)
-    out, held, length = [], [], 0
-    for piece in pieces(text, size):
-        if held and length + len(piece) > size:
-            out.append("".join(held))
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.pop(0))
-        held.append(piece)
-        length += len(piece)
-    return [x for x in ["".join(c).strip() for c in [*out, "".join(held)]] if x]
-
-
-def chunk(df: DataFrame, text: str, size: int = 2048, overlap_percent: float = 20) -> DataFrame:
-    """A row for each chunk of each text: df's columns, chunk_id (from 0) and chunk."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunks_of(t, size, overlap_percent) if isinstance(t, str) else [] for t in texts], dtype=object)
-
-    return df.select(*df.columns, F.posexplode(cut(text)).alias("chunk_id", "chunk"))
-
-
 def token_count(text: Column | str) -> Column:
     """Words and signs of a text: the counter that needs no vocabulary file."""
     return F.size(F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(r"(\w+|[^\w\s])")))

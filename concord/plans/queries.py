@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concord.functions import body, ids, jsonx, numeric, secrets, text, vectors
+from concord.functions import body, ids, jsonx, markdown, numeric, secrets, text, vectors
 from concord.functions.columns import computed
 from concord.operators import answers, consensus, evaluation, ledger, lifecycle, numeric_votes, report, retrieval, run_state, running, scope, snapshot, text_votes, verification
 from concord.plans.views import table, view, with_views
@@ -421,7 +421,22 @@ def quote_in_context(spark, folder):
 
 @query()
 def chunk_documents(spark, folder):
-    return body.chunk(table(spark, folder, "documents").select("doc_id", "text"), "text").drop("text")
+    return markdown.chunks(table(spark, folder, "documents").select("doc_id", "text")).drop("start")
+
+
+@query(r"""SELECT doc_id, true AS whole, true AS in_order, true AS fits, true AS as_written FROM papers WHERE regexp_replace(paper, '\s', '', 'g') <> ''""")
+def markdown_chunks(spark, folder):
+    """Papers in chunks by the table function: whether a paper's chunks hold all its words, follow one another, keep the size and are what stands at their place."""
+    rows = view(spark, folder, "papers").select("doc_id", "paper")
+    found = markdown.chunks(rows, "paper", fences=True, headings=True).withColumn("stop", F.col("start") + F.length("chunk"))
+    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "start", "stop", "chunk"))).alias("c"))
+    told = found.join(rows.withColumnRenamed("paper", "own"), "doc_id")
+    right = F.forall("c", lambda x: F.substr("own", x["start"].cast("int") + 1, F.length(x["chunk"])) == x["chunk"])
+    # what stands between a chunk and the next one, before the first and behind the last is white space
+    gaps = F.transform(F.sequence(F.lit(0), F.size("c")), lambda n: F.struct(F.coalesce(F.get("c.stop", n - 1), F.lit(0)).alias("a"), F.coalesce(F.get("c.start", n), F.length("own")).alias("b")))
+    blank = F.forall(gaps, lambda g: (g["b"] <= g["a"]) | F.substr("own", g["a"].cast("int") + 1, (g["b"] - g["a"]).cast("int")).rlike(r"(?U)^[\s\x1c-\x1f]*$"))
+    follow = F.col("c.chunk_id") == F.sequence(F.lit(0), F.size("c") - 1)
+    return told.select("doc_id", blank.alias("whole"), follow.alias("in_order"), F.forall("c", lambda x: F.length(x["chunk"]) <= 2048).alias("fits"), right.alias("as_written"))
 
 
 SQL_BODY = "CASE WHEN doc_id % 3 = 0 THEN paper WHEN doc_id % 3 = 1 THEN concat('# Introduction', chr(10), text, chr(10)) ELSE concat('Contents', chr(10), '[References]', chr(10), '# Introduction', chr(10), text, chr(10)) END"

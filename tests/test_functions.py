@@ -84,14 +84,12 @@ def test_replies(spark):
     assert {2, 3} <= {r.id for r in jsonx.unread_replies(df).collect()}
 
 
-def test_bodies_and_chunks(spark):
+def test_bodies(spark):
     told = "Contents\nReferences\nIntroduction\nreal text\n\n## References\n1. a"
     assert body.body_of(told) == "Contents\nReferences\nIntroduction\nreal text\n"
     assert [body.body_of(t) for t in ("", "no heading", "a\nsee References 1\nb", "a\nReferences\nIntroduction\nb")] == ["", "no heading", "a\nsee References 1\nb", "a\nReferences\nIntroduction\nb"]
     for end in ("References and Notes", "[References]", "■ References", "参 考 文 献", "# 参考文献(References)", "**Bibliography**", "## Acknowledgements:", "appendices"):
         assert body.body_of(f"a\n{end}\nb") == "a\n"
-    pieces = body.chunks_of("A sentence here. " * 200, 500, 20)
-    assert max(map(len, pieces)) <= 500 and len(pieces) > 7 and body.chunks_of("") == []
 
 
 def test_vectors(spark):
