@@ -9,18 +9,21 @@ d + 1 segments of them. A segment's lines are compared with CENTERS of them; whe
 leaves lines of one segment in several components, any of them may still agree. If they
 are few (FEW for each of the d + 1) they are compared with each other; else the places
 beside that segment are parted into d + 1 segments again, LEVELS times in all, since
-long lines that share most of their segments would multiply with each. So no line meets
-more than a few of a leaf for each segment. A link is lost only between lines of two
-components that share LEVELS segments with more than those few, in each of the segments
-they share. Components of the links are the templates.
+long lines that share most of their segments would multiply with each. Whatever lines
+are in open segments even then go by the d + 1 places of theirs whose words are rarest
+in the leaf, of which two lines of one template share one: they are compared with
+CENTERS of those that share one, at last with all of another component. So no link is
+lost, and none but lines of several components that share a rare place multiply.
+Components of the links are the templates.
 
 A template is recurring if documents of at least MIN_DOCUMENTS kinds have it. Texts
 are of one kind if their lines (by tokens, each template once) are of a Jaccard
 similarity of RELATED or more, or if such texts link them: exact and near copies
-repeat each other's lines, and finding them is near-dedup's work. Pairs come from
-KEYS samples of the templates that a text shares, each weighted by its tokens, so that
-two texts have the same one with their similarity's chance; a text is compared with
-CENTERS texts of each sample. Lines of recurring templates are dropped from every document,
+repeat each other's lines, and finding them is near-dedup's work. The rarest template
+that two such texts share has in both what weighs RELATED of the text from it on, in
+order of frequency; texts that share such a one are compared with CENTERS of them, and
+where that leaves several components, with all of another one for which both have
+enough from it on. Lines of recurring templates are dropped from every document,
 so all lines of a block that recurs go, wherever it stands.
 
 Names of texts, lines and templates are 60 bits of MD5; everything is counted by
@@ -37,7 +40,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from concord.functions.columns import computed
 from concord.llm._common import columns, few, forget, written
@@ -45,7 +48,9 @@ from concord.llm.near_dup import components
 
 LEADING, SIMILARITY, CENTERS, MIN_DOCUMENTS = 3, 0.8, 3, 3
 FEW, LEVELS = 4, 2
-RELATED, KEYS = 0.5, 16
+#: Nodes of a key that meet all others of it in one part.
+SIDE = 500
+RELATED = 0.5
 #: White space within a line.
 BLANKS = " \t\r\x0b\x0c"
 #: A prime, and a generator whose powers give it its orders of names.
@@ -118,10 +123,11 @@ def templates(lines: DataFrame, leading: int, similarity: float, centers: int) -
     d, free = allowed(F.size("words"), similarity), F.slice("words", F.lit(leading + 1), F.size("words"))
     words = lambda n, w: own.select(F.col("name").alias(n), F.col("words").alias(w))
     differ = F.aggregate(F.zip_with("a", "b", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
-    linked = lambda pairs: written(pairs.join(words("x", "a"), "x").join(words("y", "b"), "y").filter(differ <= allowed(F.size("a"), similarity)).select("x", "y"), "line-links")
+    alike = differ <= allowed(F.size("a"), similarity)
+    linked = lambda pairs: written(pairs.join(words("x", "a"), "x").join(words("y", "b"), "y").filter(alike).select("x", "y"), "line-links")
     # name, the segment that its lines share, and which of the d + 1 it was each time
     open_ = own.select("name", "words", F.col("leaf").alias("key"), F.array().cast("array<int>").alias("path"))
-    links, labels, old = [], None, []
+    links, labels, old, left = [], None, [], None
     for level in range(LEVELS):
         rest = computed(open_.select("name", "key", "path", d.alias("d"), free.alias("free")), rest=F.aggregate("path", F.col("free"), lambda r, i: part(r, i, F.col("d"))[1]))
         shared = lambda i: F.struct(F.xxhash64("key", i, part(F.col("rest"), i, F.col("d"))[0]).alias("key"), F.concat("path", F.array(i)).alias("path"))
@@ -129,31 +135,65 @@ def templates(lines: DataFrame, leading: int, similarity: float, centers: int) -
         links.append(linked(met(keyed, ["key"], "name", centers)))
         forget(*[t for t in (labels, *old) if t is not None])
         labels = components(reduce(DataFrame.unionByName, links))
-        again = written(unsettled(keyed, labels, centers), "line-again")
+        again = written(unsettled(keyed, labels, "name").withColumn("few", FEW * (F.col("d") + 1)), "line-again")
         old = [again]
         forget(keyed)
         if again.isEmpty():
             break
         few_ = again.filter("n <= few")
-        links.append(linked(few_.select("key", F.col("name").alias("x")).join(few_.select("key", F.col("name").alias("y")), "key").filter("x < y").select("x", "y").distinct()))
+        sides = [few_.select("key", F.col("name").alias(x), F.col("component").alias(c)) for x, c in (("x", "p"), ("y", "q"))]
+        links.append(linked(sides[0].join(sides[1], "key").filter("x < y and p <> q").select("x", "y").distinct()))
         many = again.filter("n > few")
         if level == LEVELS - 1 or many.isEmpty():
             forget(labels)
             labels = components(reduce(DataFrame.unionByName, links))
+            left = many.select("name").distinct()
             break
         open_ = many.join(own.select("name", "words"), "name")
+    if left is not None and not left.isEmpty():
+        keyed = written(rare_places(own.join(left, "name", "left_semi").select("name", "leaf", d.alias("d"), free.alias("free"))), "line-places")
+        links.append(linked(met(keyed, ["key"], "name", centers)))
+        forget(labels)
+        labels = components(reduce(DataFrame.unionByName, links))
+        open_ = written(unsettled(keyed, labels, "name"), "line-open-places")
+        old += [keyed, open_]
+        if not open_.isEmpty():
+            pairs = across(open_.join(own.select("name", "words"), "name").select("key", "n", "component", F.col("name").alias("x"), F.col("words").alias("a")), {"x": "y", "a": "b"})
+            links.append(written(pairs.filter(alike).select("x", "y").distinct(), "line-links"))
+            forget(labels)
+            labels = components(reduce(DataFrame.unionByName, links))
     forget(several, own, *old, *links)
     return labels
 
 
-def unsettled(keyed: DataFrame, labels: DataFrame, centers: int) -> DataFrame:
-    """keyed's rows of the keys whose nodes are of several components and weren't all compared, with n, how many a key has, and few, how many may be compared with each other."""
-    named = keyed.join(few(labels).withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    left = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.max(FEW * (F.col("d") + 1)).alias("few"))
-    return keyed.join(left.filter((F.col("n") > centers + 1) & (F.col("least") != F.col("most"))).select("key", "n", "few"), "key")
+def rare_places(rows: DataFrame) -> DataFrame:
+    """name and key: a line's d + 1 rarest places with their words; two lines of a leaf that differ in d places at most share one of them."""
+    places = rows.select("name", "d", F.explode(F.transform("free", lambda w, i: F.xxhash64("leaf", i, w))).alias("key"))
+    often = places.groupBy("key").agg(F.count("*").alias("often"))
+    ordered = F.array_sort(F.collect_list(F.struct("often", "key")))
+    return places.join(often, "key").groupBy("name", "d").agg(ordered.alias("all")).select("name", F.explode(F.slice("all", F.lit(1), F.col("d") + 1)).alias("p")).select("name", "p.key")
+
 
+def unsettled(keyed: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    """keyed's rows of the keys whose nodes are of several components and may not all have been compared, with component and n, how many a key has."""
+    named = keyed.join(few(labels).withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
+    left = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return named.join(left.filter((F.col("n") > 2) & (F.col("least") != F.col("most"))).select("key", "n"), "key")
 
-def kinds(own: DataFrame, shared: DataFrame, related: float, keys: int, centers: int) -> DataFrame:
+
+def across(rows: DataFrame, other: dict[str, str], side: int = SIDE) -> DataFrame:
+    """Every pair x < y of a key's nodes of two components, with the columns of both (other names those of y).
+
+    A key of many nodes is parted: each node is in one part as x and in all as y, so
+    no task holds a key, and pairs are never rows before they are tested.
+    """
+    parts = F.ceil(F.col("n") / side).cast("int")
+    one = rows.withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int")).drop("n")
+    two = rows.select("key", F.col("component").alias("__other"), *[F.col(c).alias(n) for c, n in other.items()], F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return one.join(two, ["key", "part"]).filter("x < y and component <> __other")
+
+
+def kinds(own: DataFrame, shared: DataFrame, related: float, centers: int) -> DataFrame:
     """node (text_id) and component of the texts that others of their kind link; own has text_id, template and tokens once each, shared the templates of several texts."""
     told = own.join(few(shared).select("template", F.lit(True).alias("__s")), "template", "left")
     sizes = told.groupBy("text_id").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("__s"), F.col("tokens")).otherwise(0)).alias("common"))
@@ -162,24 +202,33 @@ def kinds(own: DataFrame, shared: DataFrame, related: float, keys: int, centers:
     rows = own.drop("tokens").join(few(open_), "text_id").join(few(shared), "template")
     # a template's tokens are as many in every text, so they fit into the low bits of its name
     code = F.col("template").bitwiseAND(F.lit(-65536)).bitwiseOR(F.col("size").cast("long"))
-    # exponential draws by a template's hash and weight: the least of them is a sample that texts share as often as they are similar
-    drawn = lambda k: -F.log((order_of("template", k) + 1) / F.lit(float(PRIME + 1))) / F.col("size")
-    least = F.array(*[F.min_by("template", drawn(k)) for k in range(keys)])
-    told = written(rows.groupBy("text_id", "tokens").agg(F.collect_list(code).alias("codes"), least.alias("keys")), "line-texts")
-    keyed = told.select("text_id", F.posexplode("keys").alias("k", "key"))
-    pairs = met(keyed, ["k", "key"], "text_id", centers)
-    near = pairs.join(told.select(F.col("text_id").alias("x"), F.col("codes").alias("a"), F.col("tokens").alias("m")), "x").join(told.select(F.col("text_id").alias("y"), F.col("codes").alias("b"), F.col("tokens").alias("n")), "y")
+    # texts of that similarity have in common what weighs related of each, so the rarest template that they share has as much from it on in both
+    upto = F.sum("size").over(Window.partitionBy("text_id").orderBy(F.col("n").desc(), F.col("template").desc()))
+    told = written(rows.groupBy("text_id", "tokens").agg(F.collect_list(code).alias("codes")), "line-texts")
+    keyed = written(rows.withColumn("upto", upto).filter(F.col("upto") >= related * F.col("tokens") - 1e-6).select("text_id", "tokens", F.col("template").alias("key"), "upto"), "line-rare")
     both = F.aggregate(F.array_intersect("a", "b"), F.lit(0).cast("long"), lambda t, x: t + x.bitwiseAND(F.lit(65535)))
-    labels = components(near.select("x", "y", "m", "n", both.alias("both")).filter(F.col("both") >= related * (F.col("m") + F.col("n") - F.col("both"))).select("x", "y"))
-    forget(open_, told)
+    near = lambda t: t.withColumn("both", both).filter(F.col("both") >= related * (F.col("l") + F.col("m") - F.col("both"))).select("x", "y").distinct()
+    sides = [told.select(F.col("text_id").alias(x), F.col("codes").alias(c), F.col("tokens").alias(m)) for x, c, m in (("x", "a", "l"), ("y", "b", "m"))]
+    links = [written(near(met(keyed, ["key"], "text_id", centers).join(sides[0], "x").join(sides[1], "y")), "line-kin")]
+    labels = components(links[0])
+    left = written(unsettled(keyed, labels, "text_id"), "line-open-kin")
+    if not left.isEmpty():
+        told_left = left.drop("tokens").join(told, "text_id").select("key", "n", "component", F.col("text_id").alias("x"), F.col("codes").alias("a"), F.col("tokens").alias("l"), F.col("upto").alias("u"))
+        pairs = across(told_left, {"x": "y", "a": "b", "l": "m", "u": "v"})
+        # what two texts have in common from a template on is no more than either has
+        pairs = pairs.filter(F.least("u", "v") * (1 + related) >= related * (F.col("l") + F.col("m")) - 1e-6)
+        links.append(written(near(pairs), "line-kin"))
+        forget(labels)
+        labels = components(reduce(DataFrame.unionByName, links))
+    forget(open_, told, keyed, left, *links)
     return labels
 
 
-def recurring(named: DataFrame, min_documents: int, related: float, keys: int, centers: int) -> DataFrame:
+def recurring(named: DataFrame, min_documents: int, related: float, centers: int) -> DataFrame:
     """The templates that recur."""
     own = written(named.groupBy("text_id", "template").agg(F.max("tokens").alias("tokens")), "line-owners")
     shared = written(own.groupBy("template").agg(F.count("*").alias("n"), F.max("tokens").alias("size")).filter("n > 1"), "line-shared")
-    labels = kinds(own, shared, related, keys, centers)
+    labels = kinds(own, shared, related, centers)
     often = own.join(few(shared).filter(F.col("n") >= min_documents), "template", "left_semi").join(few(labels).withColumnRenamed("node", "text_id"), "text_id", "left")
     # one row a template and kind before they are counted, so that a template in all texts is no single task's
     once = often.select("template", F.coalesce("component", "text_id").alias("kind")).groupBy("template", "kind").agg(F.lit(1).alias("one"))
@@ -188,7 +237,7 @@ def recurring(named: DataFrame, min_documents: int, related: float, keys: int, c
     return found
 
 
-def dedup_lines(docs: DataFrame, leading: int = LEADING, similarity: float = SIMILARITY, centers: int = CENTERS, min_documents: int = MIN_DOCUMENTS, related: float = RELATED, keys: int = KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, leading: int = LEADING, similarity: float = SIMILARITY, centers: int = CENTERS, min_documents: int = MIN_DOCUMENTS, related: float = RELATED) -> DataFrame:
     """docs with the lines of recurring templates taken out of text, with n_lines (not blank) and n_dropped."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "__text_id", "__gone", "__lines")])
     lines = written(line_rows(columns(docs, "text"), leading), "lines")
@@ -196,7 +245,7 @@ def dedup_lines(docs: DataFrame, leading: int = LEADING, similarity: float = SIM
     own = lines.select("text_id", "pos", "name", "tokens").join(few(labels).withColumnRenamed("node", "name"), "name", "left")
     named = written(own.select("text_id", "pos", "tokens", F.coalesce("component", "name").alias("template")), "line-templates")
     forget(lines, labels)  # nothing reads them from here on
-    gone = named.select("text_id", "pos", "template").join(few(recurring(named, min_documents, related, keys, centers)), "template", "left_semi")
+    gone = named.select("text_id", "pos", "template").join(few(recurring(named, min_documents, related, centers)), "template", "left_semi")
     # a repeated row has each of its lines as often, so places count once
     told = written(gone.groupBy(F.col("text_id").alias("__text_id")).agg(F.collect_set("pos").alias("__gone")), "line-gone")
     forget(named)

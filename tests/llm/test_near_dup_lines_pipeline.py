@@ -337,3 +337,25 @@ def test_no_link_of_a_leaf_with_many_families_is_lost(spark, documents, monkeypa
     rows = [(n, " ".join(word(n, j) for j in range(40)) + "\n" + line) for n, (_, line) in enumerate(lines)]
     got = line_dedup.dedup_lines(documents(rows)).collect()
     assert sum(r.n_dropped for r in got) == 480 and all("begin" not in r.text for r in got)
+
+
+def test_no_link_of_lines_that_share_two_segments_with_many_is_lost(spark, documents, monkeypatch):
+    """Sixty families of three lines that share with each other only segments that all lines share."""
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    monkeypatch.setattr(line_dedup, "SIDE", 50, raising=False)
+    name = lambda *n: "".join(chr(97 + x % 26) + chr(97 + x // 26) for x in n)
+    free = lambda f, k: [f"l{name(f, k, i)}" if i in (1, 4, 8, 12, 17) else f"f{name(f, i)}" if i in (0, 2, 5, 9, 10, 18) else f"c{name(i)}" for i in range(24)]
+    lines = [" ".join(["all", "begin", "alike", *free(f, k)]) for f in range(60) for k in range(3)]
+    rows = [(n, " ".join(f"q{name(n, j)}" for j in range(60)) + "\n" + line) for n, line in enumerate(lines)]
+    got = line_dedup.dedup_lines(documents(rows)).collect()
+    assert [r.n_dropped for r in got] == [1] * 180 and not any("begin" in r.text for r in got)
+
+
+def test_no_link_of_texts_that_share_a_heavy_line_with_many_is_lost(spark, documents):
+    """Sixty pairs of texts of one kind by a short line; all of them share a long one, which alone makes no two of one kind."""
+    name = lambda *n: "".join(chr(97 + x % 26) + chr(97 + x // 26) for x in n)
+    line = lambda kind, n, size: " ".join(f"{kind}{name(n, j)}" for j in range(size))
+    rows = [(2 * p + k, "\n".join([line("a", 0, 60), line("b", p, 10), line("u", 2 * p + k, 30)])) for p in range(60) for k in range(2)]
+    rows += [(1000 + p, line("b", p, 10) + "\n" + line("z", p, 200)) for p in range(60)]
+    got = line_dedup.dedup_lines(documents(rows)).collect()
+    assert {(r.doc_id < 1000, r.n_dropped) for r in got} == {(True, 1), (False, 0)}
