@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -34,10 +35,23 @@ def plain_value(field: str, value: object) -> object:
     return value
 
 
+def value_texts(field: str, values: pd.Series) -> list[str]:
+    """The JSON of a field's values in an identity, made once for each different one."""
+    shown = lambda v: canonical(plain_value(field, getattr(v, "item", lambda v=v: v)()))
+    try:
+        codes, different = pd.factorize(values)
+    except TypeError:  # values that can't be hashed
+        return [shown(v) for v in values.astype(object).where(values.notna(), None)]
+    texts = np.array([*map(shown, pd.Series(different).astype(object)), "null"], dtype=object)
+    return texts[codes].tolist()  # a missing value's code is -1
+
+
 @F.pandas_udf(T.StringType())
 def identity(rows: pd.DataFrame) -> pd.Series:
-    columns = {c: rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in rows.columns}
-    return pd.Series([digest({c: plain_value(c, getattr(v, "item", lambda v=v: v)()) for c, v in zip(columns, row, strict=True)}) for row in zip(*columns.values(), strict=True)], dtype=object)
+    named = sorted(rows.columns)
+    columns = [value_texts(c, rows[c]) for c in named]
+    form = "{" + ",".join(canonical(c).replace("%", "%%") + ":%s" for c in named) + "}"
+    return pd.Series([hashlib.sha256((form % row).encode()).hexdigest() for row in zip(*columns, strict=True)], dtype=object)
 
 
 def candidate_id(df: DataFrame) -> Column:

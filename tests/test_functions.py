@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,13 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 2.0]), ([float("nan"), 1.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = df.select(vectors.cosine(F.col("a"), F.col("b")), vectors.is_valid(F.col("a"), 2)).collect()
     assert [r[1] for r in got] == [True, False, False, False] and got[0][0] == 1.0 and got[1][0] is None and got[2][0] is None
+
+
+def test_an_identity_writes_each_different_value_once(monkeypatch):
+    rows = pd.DataFrame({"paper_index": ["p%1", "é\x1f\"", None, "p%1"] * 50, "question_index": [1.0, float("nan"), 2.0, 1.0] * 50, "value": [" NA ", "1.50", "nan", None] * 50, "mce": [0.5, -0.0, 3.0, float("nan")] * 50})
+    slow = [ids.digest({c: ids.plain_value(c, None if v is None or v != v else v) for c, v in row.items()}) for row in rows.astype(object).to_dict("records")]
+    calls, plain = [], ids.plain_value
+    monkeypatch.setattr(ids, "plain_value", lambda *a: calls.append(a) or plain(*a))
+    assert ids.identity.func(rows).tolist() == slow and len(calls) <= 10
+    lists = pd.DataFrame({"value": [[1, 2], None]})
+    assert ids.identity.func(lists).tolist() == [ids.digest({"value": [1, 2]}), ids.digest({"value": None})]
