@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from concord.functions import text
 from concord.operators.consensus import has_evidence
 
+#: Models whose bits one number holds.
+WIDTH = 62
+
 
 def fan_out(candidates: DataFrame, models: list[str]) -> DataFrame:
     """A row for each candidate with evidence and each model that didn't generate it."""
@@ -39,9 +42,15 @@ def text_name(model: str) -> str:
 
 
 def missing_votes(candidates: DataFrame, votes: DataFrame, models: list[str]) -> DataFrame:
-    """Votes that are needed and not there."""
-    have = valid_votes(votes, models).select("candidate_id", "output_model").distinct()
-    return fan_out(candidates, models).select("candidate_id", "model", "output_model").join(have, ["candidate_id", "output_model"], "left_anti")
+    """Votes that are needed and not there; the models that voted on a candidate are bits of numbers, so neither side has a row a pair before it is known to be missing."""
+    places = [(m, f"__had{k // WIDTH}", F.lit(1 << k % WIDTH).cast("long")) for k, m in enumerate(dict.fromkeys(models))]
+    words = list(dict.fromkeys(w for _, w, _ in places))
+    nothing = F.lit(0).cast("long")
+    had = [F.bit_or(F.coalesce(*[F.when(F.col("output_model") == m, bit) for m, w, bit in places if w == word], nothing)).alias(word) for word in words]
+    have = valid_votes(votes, models).groupBy("candidate_id").agg(*had)
+    told = candidates.filter(has_evidence()).select("candidate_id", "model").join(have, "candidate_id", "left")
+    lacks = [F.when((F.col("model") != m) & (F.coalesce(word, nothing).bitwiseAND(bit) == 0), F.lit(m)) for m, word, bit in places]
+    return told.select("candidate_id", "model", F.explode(F.array_compact(F.array(*lacks))).alias("output_model"))
 
 
 def uncovered(scored: DataFrame, models: list[str]) -> DataFrame:
