@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from concord.functions import body, numeric, text, vectors, vocab
 from concord.operators.consensus import has_evidence
-from concord.operators.verification import fan_out
 
 
 def extraction_coverage(grid: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -17,14 +18,40 @@ def extraction_coverage(grid: DataFrame, found: DataFrame, keys: list[str]) -> D
     return told.withColumn("outcome", outcome).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+#: A model's bits in a candidate's number: asked, cast, a flag of 0 or 1, a flag of 1, an error; models to a number; the bit of votes by none of them.
+ASKED, CAST, SEEN, FOUND, ERROR, BITS = 1, 2, 4, 8, 16, 5
+WIDTH, STRANGE = 12, 60
+
+
 def verification_accounting(candidates: DataFrame, votes: DataFrame, models: list[str]) -> DataFrame:
-    """One row of counters: candidates, votes expected, seen, of which found, and missing; votes nobody expected."""
-    asked = fan_out(candidates, models).select("candidate_id", "output_model").distinct()
-    cast = votes.groupBy("candidate_id", "output_model").agg(F.max(F.when(F.col("existing_flag").isin(0, 1), F.col("existing_flag"))).alias("flag"), F.count_if(F.col("existing_flag") == -1).alias("errors"))
-    both = asked.withColumn("asked", F.lit(1)).join(cast.withColumn("cast", F.lit(1)), ["candidate_id", "output_model"], "full_outer")
-    counts = both.agg(
-        F.count_if(F.expr("asked = 1")).alias("expected"), F.count_if(F.expr("asked = 1 and flag is not null")).alias("seen"), F.count_if(F.expr("asked = 1 and flag = 1")).alias("found"),
-        F.count_if(F.expr("asked = 1 and flag is null and errors > 0")).alias("errors"), F.count_if(F.expr("asked = 1 and cast is null")).alias("missing"), F.count_if(F.expr("asked is null")).alias("unexpected"),
+    """One row of counters: candidates, votes expected, seen, of which found, and missing; votes nobody expected.
+
+    A candidate's pairs with models are bits, so one row a candidate is shuffled from
+    either side; only pairs with models outside of the pool have rows of their own.
+    """
+    pool = list(dict.fromkeys(models))
+    chunks = [pool[k : k + WIDTH] for k in range(0, len(pool), WIDTH)] or [[]]
+    number = lambda chunk, of: reduce(Column.bitwiseOR, [of(m, BITS * k) for k, m in enumerate(chunk)], F.lit(0).cast("long"))
+    asks = lambda m, at: F.when(F.col("model") != m, F.lit(ASKED << at)).otherwise(F.lit(0)).cast("long")
+    flag = F.col("existing_flag")
+    told = F.lit(CAST) + F.when(flag.isin(0, 1), SEEN).otherwise(0) + F.when(flag == 1, FOUND).otherwise(0) + F.when(flag == -1, ERROR).otherwise(0)
+    casts = lambda m, at: F.when(F.col("output_model") == m, F.shiftleft(told.cast("long"), at)).otherwise(F.lit(0).cast("long"))
+    stranger = ~F.coalesce(F.col("output_model").isin(*pool), F.lit(False))
+    strange = F.when(stranger, F.lit(1 << STRANGE)).otherwise(F.lit(0)).cast("long")
+    words = [f"w{j}" for j in range(len(chunks))]
+    asked = candidates.filter(has_evidence()).select("candidate_id", F.lit(None).cast("string").alias("other"), *[number(c, asks).alias(w) for w, c in zip(words, chunks, strict=True)])
+    cast = votes.select("candidate_id", F.when(stranger, F.col("output_model").cast("string")).alias("other"), *[(number(c, casts).bitwiseOR(strange) if w == "w0" else number(c, casts)).alias(w) for w, c in zip(words, chunks, strict=True)])
+    each = asked.unionByName(cast).groupBy("candidate_id", "other").agg(*[F.bit_or(w).alias(w) for w in words])
+    ones = F.lit(sum(1 << BITS * k for k in range(WIDTH)))
+    of = lambda w, bit: F.shiftrightunsigned(F.col(w), bit.bit_length() - 1).bitwiseAND(ones)
+    # votes and candidates without an id don't meet
+    meets = F.when(F.col("candidate_id").isNotNull(), ones).otherwise(F.lit(0).cast("long"))
+    both = lambda w: of(w, ASKED).bitwiseAND(meets)
+    total = lambda f: F.coalesce(F.sum(sum((F.bit_count(f(w)) for w in words), F.lit(0)).cast("long")), F.lit(0).cast("long"))
+    counts = each.agg(
+        total(lambda w: of(w, ASKED)).alias("expected"), total(lambda w: both(w).bitwiseAND(of(w, SEEN))).alias("seen"), total(lambda w: both(w).bitwiseAND(of(w, FOUND))).alias("found"),
+        total(lambda w: both(w).bitwiseAND(F.bitwise_not(of(w, SEEN))).bitwiseAND(of(w, ERROR))).alias("errors"), total(lambda w: of(w, ASKED).bitwiseAND(F.bitwise_not(of(w, CAST).bitwiseAND(meets)))).alias("missing"),
+        (total(lambda w: of(w, CAST).bitwiseAND(F.bitwise_not(both(w)))) + F.count_if(F.col("w0").bitwiseAND(F.lit(1 << STRANGE)) != 0)).alias("unexpected"),
     )
     eligible = candidates.agg(F.count("*").alias("candidates"), F.count_if(has_evidence()).alias("eligible"))
     return eligible.crossJoin(counts)  # two rows of one each

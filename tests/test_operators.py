@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,28 @@ def test_short_quotes_are_found(spark, tmp_path, monkeypatch):
 def test_numbers_are_parsed_once_a_row(spark, name, parsers, scans):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("ArrowEvalPython"), plan.count("FileScan")) == (parsers, scans)
+
+
+def test_accounting_and_missing_votes_shuffle_a_row_a_candidate(spark):
+    """No row a pair of candidate and model goes into a shuffle, and the counts are those of the pairs, ids and models without a name too."""
+    models = [f"n/m{k}" for k in range(14)]
+    odd = [None, "x", *models]
+    candidates = [(f"c{k % 37}" if k % 11 else None, odd[k % 16], "none" if k % 7 == 0 else "Table") for k in range(80)]
+    votes = [(f"c{k % 45}" if k % 13 else None, models[k % 5], [*odd, "y"][k * k % 17], [-1, 0, 1, None, 2][k % 5], "q" if k % 3 else " ") for k in range(900)]
+    df = spark.createDataFrame(candidates, "candidate_id string, model string, evidence string")
+    cast = spark.createDataFrame(votes, "candidate_id string, input_model string, output_model string, existing_flag int, direct_quote string")
+    asked = {(c, m) for c, own, e in candidates if e != "none" and own for m in models if m != own}
+    by = {}
+    for c, _, m, flag, _ in votes:
+        by.setdefault((c, m), []).append(flag)
+    meet = {k: v for k, v in by.items() if None not in k and k in asked}
+    told = [80, sum(e != "none" for *_, e in candidates), len(asked), sum(bool({0, 1} & set(v)) for v in meet.values()), sum(1 in v for v in meet.values()), sum(-1 in v and not {0, 1} & set(v) for v in meet.values()), len(asked) - len(meet), len(by) - len(meet)]
+    accounting = report.verification_accounting(df, cast, models)
+    assert list(accounting.first()) == told
+    good = {(c, m) for c, i, m, flag, q in votes if c and m in models and i != m and (flag == 0 or flag == 1 and q == "q")}
+    missing = verification.missing_votes(df, cast, models)
+    want = Counter((c, own, m) for c, own, e in candidates if e != "none" and own for m in models if m != own and (c, m) not in good)
+    assert Counter(map(tuple, missing.collect())) == want
+    for made in (accounting, missing):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "output_model" in line]
