@@ -14,17 +14,35 @@ from concord.functions.columns import computed
 KEYS = ("paper_index", "question_index")
 
 
+def with_items(df: DataFrame, merge_none_mixed: bool = True, equivalence: bool = True, theme: str | None = None) -> DataFrame:
+    """df with item_norm, item_equiv and model."""
+    df = computed(df, item_norm=text.item_name("item", theme))
+    key = text.item_key("item_norm", merge_none_mixed) if equivalence else text.item_base("item_norm") if merge_none_mixed else F.col("item_norm")
+    df = computed(df, item_equiv=key)
+    return df if "model" in df.columns else df.withColumn("model", F.lit(None).cast("string"))
+
+
+def without_bad(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("item").isNull() | (F.col("item") != vocab.BAD_ITEM))
+
+
 def named(df: DataFrame, conf_col: str | None = None, merge_none_mixed: bool = True, equivalence: bool = True, drop_bad: bool = True, theme: str | None = None) -> DataFrame:
     """df with item_norm, item_equiv and conf; rows of bad items left out."""
     found = numeric.confidence_column(df, conf_col)
-    if drop_bad:
-        df = df.filter(F.col("item").isNull() | (F.col("item") != vocab.BAD_ITEM))
-    df = computed(df, item_norm=text.item_name("item", theme))
-    key = text.item_key("item_norm", merge_none_mixed) if equivalence else text.item_base("item_norm") if merge_none_mixed else F.col("item_norm")
-    df = computed(df, item_equiv=key, conf=numeric.confidence(found) if found else F.lit(1.0))
-    if "model" not in df.columns:
-        df = df.withColumn("model", F.lit(None).cast("string"))
-    return df
+    conf = numeric.confidence(found) if found else F.lit(1.0)
+    return computed(with_items(without_bad(df) if drop_bad else df, merge_none_mixed, equivalence, theme), conf=conf)
+
+
+def counted(df: DataFrame, columns: tuple[str, ...], conf_col: str | None = None, drop_bad: bool = True, **options) -> DataFrame:
+    """`named` rows, one for each different combination of the columns with n, its rows, and the sum of their conf.
+
+    Items, numbers and units are read after this grouping, once for each combination
+    and not for each row.
+    """
+    found = numeric.confidence_column(df, conf_col)
+    conf = numeric.confidence(found) if found else F.lit(1.0)
+    rows = (without_bad(df) if drop_bad else df).groupBy(*[c for c in columns if c in df.columns]).agg(F.count("*").alias("n"), F.sum(conf).alias("conf"))
+    return with_items(rows, **options)
 
 
 def prepared(df: DataFrame, **options) -> DataFrame:
@@ -40,12 +58,17 @@ def valid(df: DataFrame, meaningless: tuple[str, ...] = vocab.MEANINGLESS_NUMERI
     return df.filter(F.col("scalar_value").isNotNull() & ~numeric.is_meaningless("scalar_value", meaningless))
 
 
-def representative_items(rows: DataFrame) -> DataFrame:
-    """paper_index, question_index, item_equiv and item: its most frequent spelling, the least of equals; over all rows, valid or not."""
-    counts = rows.groupBy(*KEYS, "item_equiv", "item_norm").agg(F.count("*").alias("n"))
+def representative_items(rows: DataFrame, count: str | None = None) -> DataFrame:
+    """paper_index, question_index, item_equiv and item: its most frequent spelling, the least of equals; over all rows, valid or not. A row stands for as many as its count says."""
+    counts = rows.groupBy(*KEYS, "item_equiv", "item_norm").agg((F.sum(count) if count else F.count("*")).alias("n"))
     return counts.groupBy(*KEYS, "item_equiv").agg(F.min(F.struct((-F.col("n")).alias("n"), "item_norm"))["item_norm"].alias("item"))
 
 
+def item_names(df: DataFrame, **options) -> DataFrame:
+    """`representative_items` of rows that aren't named yet."""
+    return representative_items(counted(df, (*KEYS, "item"), **options), "n")
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
     """A join in which null keys meet; the keys stay once."""
     other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -55,12 +78,12 @@ def null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str
 
 def tally(df: DataFrame, meaningless: tuple[str, ...] = vocab.MEANINGLESS_NUMERIC, **options) -> DataFrame:
     """A row for each value of each item: count of rows, confidence_sum, the sorted models."""
-    rows = named(df, **options)
+    rows = counted(df, (*KEYS, "item", "value", "unit", "model"), **options)
     boxes = valid(with_numbers(rows), meaningless).groupBy(*KEYS, "item_equiv", "normalized_value").agg(
-        F.count("*").alias("count"), F.sum("conf").alias("confidence_sum"), text.joined_distinct(F.trim(F.col("model").cast("string")), ",").alias("models"),
+        F.sum("n").alias("count"), F.sum("conf").alias("confidence_sum"), text.joined_distinct(F.trim(F.col("model").cast("string")), ",").alias("models"),
         F.coalesce(F.min(F.when(F.col("unit_norm") != "", F.col("unit_norm"))), F.lit("")).alias("unit"), F.bool_or("unit_is_explicit").alias("unit_is_explicit"), F.min("scalar_value").alias("scalar_value"),
     )
-    return null_safe(boxes, representative_items(rows), (*KEYS, "item_equiv")).select(*KEYS, "item", "normalized_value", "scalar_value", "unit", "unit_is_explicit", "count", "confidence_sum", "models")
+    return null_safe(boxes, item_names(df, **options), (*KEYS, "item_equiv")).select(*KEYS, "item", "normalized_value", "scalar_value", "unit", "unit_is_explicit", "count", "confidence_sum", "models")
 
 
 def shown_value() -> Column:
@@ -85,9 +108,11 @@ def winners(boxes: DataFrame, prefer: str = "votes", second: str = "confidence")
 
 def decimal_majority(df: DataFrame, ratio: float = 0.5, by: tuple[str, ...] = ("paper_index",), meaningless: tuple[str, ...] = vocab.MEANINGLESS_NUMERIC) -> DataFrame:
     """For each paper whether at least that share of its valid numbers has two decimals or more; rows of bad items count too."""
-    rows = valid(numeric.with_number(df, "value"), meaningless)
-    share = F.avg(numeric.is_long_decimal("scalar_value").cast("double"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n_values"), F.count_if(numeric.is_long_decimal("scalar_value")).alias("n_long"), (share >= ratio).alias("decimals_majority"))
+    # a number is read once for each different text of a group
+    counts = df.groupBy(*dict.fromkeys([*by, "value"])).agg(F.count("*").alias("n"))
+    rows = valid(numeric.with_number(counts, "value"), meaningless)
+    long = F.sum(F.when(numeric.is_long_decimal("scalar_value"), F.col("n")).otherwise(0))
+    return rows.groupBy(*by).agg(F.sum("n").alias("n_values"), long.alias("n_long"), (long / F.sum("n") >= ratio).alias("decimals_majority"))
 
 
 def pool_of() -> dict[str, Column]:
@@ -125,12 +150,12 @@ def ensemble(df: DataFrame, ratio: float = 0.5, prefer: str = "votes", second: s
 
 def value_options(df: DataFrame, topk: int | None = None, prefer: str = "votes", second: str = "confidence", meaningless: tuple[str, ...] = vocab.MEANINGLESS_NUMERIC, **options) -> DataFrame:
     """Every value of each item of a paper: shares, up to five samples, ranks and winners."""
-    rows = named(df, **options)
-    counts = rows.groupBy("paper_index", "item_equiv", "item_norm").agg(F.count("*").alias("n"))
+    rows = counted(df, ("paper_index", "item", "value", "unit", "model"), **options)
+    counts = counted(df, ("paper_index", "item"), **options).groupBy("paper_index", "item_equiv", "item_norm").agg(F.sum("n").alias("n"))
     names = counts.groupBy("paper_index", "item_equiv").agg(F.min(F.struct((-F.col("n")).alias("n"), "item_norm"))["item_norm"].alias("item"))
     raw = F.trim(F.col("value").cast("string"))
     boxes = valid(with_numbers(rows), meaningless).groupBy("paper_index", "item_equiv", F.col("normalized_value").alias("value_norm")).agg(
-        F.count("*").alias("count"), F.sum("conf").alias("confidence_sum"), text.joined_distinct(F.trim(F.col("model").cast("string")), ",").alias("models"),
+        F.sum("n").alias("count"), F.sum("conf").alias("confidence_sum"), text.joined_distinct(F.trim(F.col("model").cast("string")), ",").alias("models"),
         F.array_join(F.slice(F.array_sort(F.collect_set(F.when(raw != "", raw))), 1, 5), ", ").alias("raw_samples"),
     )
     group = Window.partitionBy("paper_index", "item_equiv")

@@ -112,7 +112,7 @@ def numeric_ensemble(spark, folder):
 
 @query(f"WITH {SQL_TALLY} SELECT paper_index, question_index, item_key AS item_equiv, item FROM shown")
 def representative_item_mode(spark, folder):
-    return numeric_votes.representative_items(numeric_votes.prepared(candidates(spark, folder)))
+    return numeric_votes.item_names(candidates(spark, folder))
 
 
 SQL_OPTIONS = f"""{SQL_NORM}, kept AS (SELECT * FROM norm WHERE item <> 'ilegal'),

@@ -256,3 +256,15 @@ def test_accounting_and_missing_votes_shuffle_a_row_a_candidate(spark):
     for made in (accounting, missing):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "output_model" in line]
+
+
+@pytest.mark.parametrize("name", ["numeric_vote_tally", "numeric_winner_by_confidence", "pooled_candidates", "numeric_ensemble", "representative_item_mode", "decimal_majority_papers", "value_options_summary"])
+def test_texts_are_read_after_equal_rows_are_counted(spark, name):
+    """Every reader of items, numbers or units stands above a grouping in its branch of the plan."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    readers = [k for k, line in enumerate(plan) if "Generate inline" in line or "ArrowEvalPython" in line]
+    assert readers
+    for k in readers:
+        below = next((j for j in range(k + 1, len(plan)) if depth(plan[j]) <= depth(plan[k])), len(plan))
+        assert any("Aggregate" in line for line in plan[k + 1 : below])
